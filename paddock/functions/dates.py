@@ -20,34 +20,47 @@ MONTH_LETTERS = {
 UNLISTED_TO_LISTED = {"F": "G", "H": "J", "U": "V", "X": "Z"}
 LISTED_LETTERS = ["G", "J", "K", "M", "N", "Q", "V", "Z"]
 
-_CLOCK = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?)?$"
-_TEXT_MONTHS = ["MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "d MMM yyyy", "MMM d yyyy"]
+_CLOCK = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_MONTH, _DAY = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+_YEAR, _SHORT_YEAR = r"(\d{4})", r"(\d{2})"
+
+# Written forms of a date and how they read as year-month-day. They are told apart by
+# pattern, so that a text that is no date costs a match and not an exception.
+_FORMS = [
+    (f"^{_YEAR}-{_MONTH}-{_DAY}{_CLOCK}", "$1-$2-$3"),
+    (f"^{_YEAR}/{_MONTH}/{_DAY}{_CLOCK}", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (f"^{_MONTH}[/-]{_DAY}[/-]{_YEAR}{_CLOCK}", "$3-$1-$2"),
+    (f"^{_DAY}[/-]{_MONTH}[/-]{_YEAR}{_CLOCK}", "$3-$2-$1"),
+    (f"^{_MONTH}/{_DAY}/{_SHORT_YEAR}{_CLOCK}", "20$3-$1-$2"),
+    (f"^{_DAY}/{_MONTH}/{_SHORT_YEAR}{_CLOCK}", "20$3-$2-$1"),
+]
+_WORDED = [
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+]
 
 
 def parse_date(col: Column) -> Column:
     """Date in a text of mixed formats, month before day, null when it does not parse."""
     text = strip(col.cast("string"))
-    day = F.regexp_extract(text, r"^[^ T]+", 0)
-    slashed = F.regexp_replace(day, "-", "/")
-    return (
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}" + _CLOCK), day.try_cast("date"))
-        .when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
-        .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK), F.try_to_date(day, "yyyy/M/d"))
-        .when(
-            text.rlike(r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}" + _CLOCK),
-            F.coalesce(F.try_to_date(slashed, "M/d/yyyy"), F.try_to_date(slashed, "d/M/yyyy")),
-        )
-        .when(
-            text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}" + _CLOCK),
-            F.coalesce(F.try_to_date(slashed, "M/d/yy"), F.try_to_date(slashed, "d/M/yy")),
-        )
-        .when(text.rlike("[A-Za-z]{3}"), F.coalesce(*[F.try_to_date(text, f) for f in _TEXT_MONTHS]))
-    )
+    pattern, form = _FORMS[0]
+    chain = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, form).try_cast("date"))
+    for pattern, form in _FORMS[1:]:
+        chain = chain.when(text.rlike(pattern), F.regexp_replace(text, pattern, form).try_cast("date"))
+    for pattern, form in _WORDED:
+        chain = chain.when(text.rlike(pattern), F.try_to_date(text, form))
+    return chain
 
 
 def parse_yyyymmdd(col: Column) -> Column:
     """Date written as an eight digit number, null when it is none."""
-    return F.try_to_date(col.cast("string"), "yyyyMMdd")
+    pattern, form = _FORMS[2]
+    text = col.cast("string")
+    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, form).try_cast("date"))
 
 
 def _contract_parts(col: Column) -> tuple[Column, Column]:

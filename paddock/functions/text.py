@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paddock.functions.numeric import round_even
+
 # Symbols spelled out in column names.
 SYMBOL_WORDS = {"$": "usd", "%": "pct", "#": "num"}
 
@@ -100,7 +102,7 @@ def spelled_name(name: str) -> str:
 
 def signed_money(col: Column) -> Column:
     """``$+1.50`` display form; ``N/A`` for null."""
-    return F.coalesce(F.format_string("$%+.2f", col), F.lit("N/A"))
+    return F.when(col.isNull(), "N/A").otherwise(F.format_string("$%+.2f", round_even(col, 2)))
 
 
 def whole_percent(col: Column) -> Column:

@@ -29,41 +29,50 @@ SAME_TYPE_BONUS, DATE_CLASH, TEXT_NUMBER_CLASH = 0.20, 0.15, 0.10
 ACCEPT_ABOVE, REMATCH_ABOVE = 0.45, 0.40
 
 
-def _rate(condition: Column) -> Column:
-    return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
-
-
-def _column_facts(field: T.StructField) -> Column:
+def _value_flags(field: T.StructField, i: int) -> dict[str, Column]:
+    """Per row: is the value a number, does it look like a date, is it one, how long is it."""
     col = F.col(f"`{field.name}`")
-    text = col.cast("string")
-    seen = col.isNotNull()
+    text, seen = col.cast("string"), col.isNotNull()
     if isinstance(field.dataType, T.NumericType):
-        numeric = dated = marked = F.lit(None).cast("double")
-        numeric = F.avg(F.when(seen, F.lit(1.0)))
+        number, marked, dated = F.lit(1.0), F.lit(0.0), F.lit(0.0)
     else:
-        numeric = F.avg(F.when(seen, to_number(text).isNotNull().cast("double")))
-        marked = F.avg(F.when(seen, text.rlike(r"[/\-]").cast("double")))
-        dated = F.avg(F.when(seen, parse_date(text).isNotNull().cast("double")))
+        marks = text.rlike(r"[/\-]")
+        number = to_number(text).isNotNull().cast("double")
+        marked = marks.cast("double")
+        dated = parse_date(text).isNotNull().cast("double")
+    return {
+        f"number{i}": F.when(seen, number),
+        f"marked{i}": F.when(seen, marked),
+        f"dated{i}": F.when(seen, dated),
+        f"length{i}": F.length(text),
+    }
+
+
+def _column_facts(field: T.StructField, i: int) -> Column:
+    col = F.col(f"`{field.name}`")
     return F.struct(
         F.lit(field.name).alias("column"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count(col).alias("n_values"),
-        numeric.alias("numeric_rate"),
-        marked.alias("date_mark_rate"),
-        dated.alias("date_rate"),
-        F.avg(F.length(text)).alias("avg_length"),
-        F.approx_count_distinct(col, 0.01).alias("n_distinct"),
+        F.avg(f"number{i}").alias("numeric_rate"),
+        F.avg(f"marked{i}").alias("date_mark_rate"),
+        F.avg(f"dated{i}").alias("date_rate"),
+        F.avg(f"length{i}").alias("avg_length"),
+        F.hll_sketch_estimate(F.hll_sketch_agg(col.cast("string"))).alias("n_distinct"),
     )
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: counts, rates and the guessed type with its confidence.
 
-    All columns are measured in one pass over all rows. The number of distinct values is
-    an estimate within one percent; it decides between category and text only."""
+    All columns are measured in one pass over all rows. The number of distinct values comes
+    from a sketch that lists the values while they are few, so the ten of a category are
+    counted and only larger numbers are estimates."""
     wanted = set(columns or df.columns)
-    facts = [_column_facts(f) for f in df.schema.fields if f.name in wanted]
-    rows = df.agg(F.array(*facts).alias("__facts")).select(F.explode("__facts").alias("f")).select("f.*")
+    fields = [f for f in df.schema.fields if f.name in wanted]
+    flags = {n: c for i, f in enumerate(fields) for n, c in _value_flags(f, i).items()}
+    facts = [_column_facts(f, i) for i, f in enumerate(fields)]
+    rows = df.select(*[f"`{f.name}`" for f in fields]).withColumns(flags).agg(F.array(*facts).alias("__facts")).select(F.explode("__facts").alias("f")).select("f.*")
     kind = (
         F.when(F.col("n_values") == 0, "unknown")
         .when(F.col("numeric_rate") > MOSTLY, "numeric")

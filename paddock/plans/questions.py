@@ -62,8 +62,8 @@ def hedge_comparison(tables: Tables, n: int = 10) -> DataFrame:
     return views.quote_comparison(tables["lrp_quotes"], n)
 
 
-def barn_alerts(tables: Tables, n: int = 5) -> DataFrame:
-    return views.latest_alerts(views.water_alerts(tables["barn_env"]), n)
+def barn_alerts(tables: Tables, n: int = 5, scale: int | None = None) -> DataFrame:
+    return views.latest_alerts(views.water_alerts(tables["barn_env"], scale=scale), n)
 
 
 def feed_cost(tables: Tables, days: int = 30) -> DataFrame:
