@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paddock.functions.text import lookup, strip
+from paddock.functions.text import WHITE, lookup
 
 # Month numbers and exchange letters.
 MONTH_NUMBERS = {
@@ -20,47 +20,41 @@ MONTH_LETTERS = {
 UNLISTED_TO_LISTED = {"F": "G", "H": "J", "U": "V", "X": "Z"}
 LISTED_LETTERS = ["G", "J", "K", "M", "N", "Q", "V", "Z"]
 
-_CLOCK = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_BLANK = f"[{WHITE}]*"
+_CLOCK = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[AaPp][Mm])?(?:Z|[+-]\d{2}:?\d{2})?)?"
 _MONTH, _DAY = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
-_YEAR, _SHORT_YEAR = r"(\d{4})", r"(\d{2})"
-
-# Written forms of a date and how they read as year-month-day. They are told apart by
-# pattern, so that a text that is no date costs a match and not an exception.
-_FORMS = [
-    (f"^{_YEAR}-{_MONTH}-{_DAY}{_CLOCK}", "$1-$2-$3"),
-    (f"^{_YEAR}/{_MONTH}/{_DAY}{_CLOCK}", "$1-$2-$3"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-    (f"^{_MONTH}[/-]{_DAY}[/-]{_YEAR}{_CLOCK}", "$3-$1-$2"),
-    (f"^{_DAY}[/-]{_MONTH}[/-]{_YEAR}{_CLOCK}", "$3-$2-$1"),
-    (f"^{_MONTH}/{_DAY}/{_SHORT_YEAR}{_CLOCK}", "20$3-$1-$2"),
-    (f"^{_DAY}/{_MONTH}/{_SHORT_YEAR}{_CLOCK}", "20$3-$2-$1"),
-]
-_WORDED = [
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
-]
+
+# All written forms in one pattern, month before day where both fit. A group that took no
+# part in a match is empty in the replacement, so the groups of the forms are put side by
+# side. A text that is no date costs one match and no exception.
+_NUMERIC = (
+    f"^{_BLANK}(?:(\\d{{4}})[-/]{_MONTH}[-/]{_DAY}{_CLOCK}"
+    r"|(\d{4})(\d{2})(\d{2})"
+    f"|{_MONTH}[-/]{_DAY}[-/](\\d{{4}}){_CLOCK}"
+    f"|{_DAY}[-/]{_MONTH}[-/](\\d{{4}}){_CLOCK}){_BLANK}$"
+)
+_NUMERIC_ISO = "$1$4$9$12-$2$5$7$11-$3$6$8$10"
+_SHORT_YEAR = f"^{_BLANK}(?:{_MONTH}/{_DAY}/(\\d{{2}}){_CLOCK}|{_DAY}/{_MONTH}/(\\d{{2}}){_CLOCK}){_BLANK}$"
+_SHORT_YEAR_ISO = "20$3$6-$1$5-$2$4"
+_WORDED = f"^{_BLANK}(?:([A-Za-z]{{3}})[a-z]* (\\d{{1,2}}),? (\\d{{4}})|(\\d{{1,2}})[- ]([A-Za-z]{{3}})[a-z]*[- ](\\d{{4}})){_BLANK}$"
+_WORDED_DAY = "$2$4 $1$5 $3$6"
 
 
 def parse_date(col: Column) -> Column:
     """Date in a text of mixed formats, month before day, null when it does not parse."""
-    text = strip(col.cast("string"))
-    pattern, form = _FORMS[0]
-    chain = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, form).try_cast("date"))
-    for pattern, form in _FORMS[1:]:
-        chain = chain.when(text.rlike(pattern), F.regexp_replace(text, pattern, form).try_cast("date"))
-    for pattern, form in _WORDED:
-        chain = chain.when(text.rlike(pattern), F.try_to_date(text, form))
-    return chain
+    text = col.cast("string")
+    return (
+        F.when(text.rlike(_NUMERIC), F.regexp_replace(text, _NUMERIC, _NUMERIC_ISO).try_cast("date"))
+        .when(text.rlike(_SHORT_YEAR), F.regexp_replace(text, _SHORT_YEAR, _SHORT_YEAR_ISO).try_cast("date"))
+        .when(text.rlike(_WORDED), F.try_to_date(F.regexp_replace(text, _WORDED, _WORDED_DAY), "d MMM yyyy"))
+    )
 
 
 def parse_yyyymmdd(col: Column) -> Column:
     """Date written as an eight digit number, null when it is none."""
-    pattern, form = _FORMS[2]
+    pattern = r"^(\d{4})(\d{2})(\d{2})$"
     text = col.cast("string")
-    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, form).try_cast("date"))
+    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$1-$2-$3").try_cast("date"))
 
 
 def _contract_parts(col: Column) -> tuple[Column, Column]:

@@ -32,6 +32,11 @@ ABBREVIATIONS = {
     "pig": "pig", "hog": "pig", "swine": "pig",
 }
 
+# Code points that count as white space.
+_WHITE_POINTS = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
+_WHITE_POINTS += [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITE = "".join(map(chr, _WHITE_POINTS))
+
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -54,7 +59,7 @@ def snake_columns(df: DataFrame) -> DataFrame:
 
 def strip(col: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(col, F.lit(WHITE))
 
 
 def strip_columns(df: DataFrame) -> DataFrame:

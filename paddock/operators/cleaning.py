@@ -127,8 +127,15 @@ def clean(df: DataFrame, spec: CleaningSpec, *, null_threshold: float = 0.90) ->
         if column in df.columns:
             df = clip_column(df, column, low, high)
     df = snake_columns(strip_columns(df))
-    order = [s for s in spec.sort if s in df.columns]
-    return Cleaned(df.orderBy(*[F.asc_nulls_last(s) for s in order]) if order else df, dropped)
+    return Cleaned(sort_rows(df, [s for s in spec.sort if s in df.columns]), dropped)
+
+
+def sort_rows(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in an order, nulls last. Rows equal in it are spread by a hash, so that a date
+    with many rows is sorted by several tasks."""
+    if not order:
+        return df
+    return df.orderBy(*[F.asc_nulls_last(c) for c in order], F.xxhash64(*[_name(c) for c in df.columns]))
 
 
 def generic_spec(date_columns: Sequence[str], columns: Sequence[str]) -> CleaningSpec:

@@ -1,8 +1,8 @@
 """Joins: as-of, nearest value, range statistics, latest mark, period benchmark, keys.
 
-No function broadcasts by hint. Small sides are broadcast by the optimizer when their
-known size is under ``spark.sql.autoBroadcastJoinThreshold``, at plan time or by the
-adaptive engine after the shuffle statistics are in; beyond that the join shuffles.
+Broadcast marks are set only on tables the calendar bounds: one row per day or month after
+aggregation. All other sides are left to the optimizer, which broadcasts a side when its
+known size is under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond that.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.functions.numeric import flag
+from paddock.functions.numeric import flag, mean
 
 
 def left_join_suffixed(left: DataFrame, right: DataFrame, on: list[str], suffix: str) -> DataFrame:
@@ -76,19 +76,22 @@ def asof_nearest(
     """Left join to the right row nearest in time, at most ``tolerance_days`` away.
 
     Of two dates equally near the earlier one wins. The right side is reduced to one row
-    per (by, date) first, the lowest by ``right_order``, or by the payload itself. A
-    matched row keeps its nulls.
+    per (by, date) first: the first by ``right_order``, or else the lowest payload.
 
     Time is cut into buckets as wide as the search window: a left date touches at most
     two of them, a right row lies in exactly one, so the equi-join on (by, bucket) meets
     at most two windows of dates. Only distinct left dates take part."""
     by = list(by)
     width = 2 * tolerance_days + 1
-    pick_by = list(right_order) or payload
+    single = len(payload) == 1 and not right_order
+    if single:
+        picked = F.min(payload[0])
+    else:
+        picked = F.min_by(F.struct(*payload), F.struct(*(list(right_order) or payload)))
     days = (
         right.where(F.col(right_on).isNotNull())
         .groupBy(*by, F.col(right_on).alias("__rdate"))
-        .agg(F.min_by(F.struct(*payload), F.struct(*pick_by)).alias("__payload"))
+        .agg(picked.alias("__payload"))
         .withColumn("__bucket", F.floor(F.unix_date("__rdate") / width))
     )
     low, high = (F.floor((F.unix_date(on) + s * tolerance_days) / width) for s in (-1, 1))
@@ -100,13 +103,13 @@ def asof_nearest(
     )
     away = F.abs(F.datediff(F.col(on), F.col("__rdate")))
     found = (
-        probes.join(days, [*by, "__bucket"])
+        probes.join(days if by else F.broadcast(days), [*by, "__bucket"])
         .where(away <= tolerance_days)
         .groupBy(*by, on)
         .agg(F.min_by(F.struct("__payload", "__rdate", away.alias("__away")), F.struct(away, "__rdate")).alias("__hit"))
     )
-    out = left.join(found, [*by, on], "left")
-    extra = [F.col(f"__hit.__payload.{c}").alias(c) for c in payload]
+    out = left.join(found if by else F.broadcast(found), [*by, on], "left")
+    extra = [F.col("__hit.__payload" if single else f"__hit.__payload.{c}").alias(c) for c in payload]
     if matched_date:
         extra.append(F.col("__hit.__rdate").alias(matched_date))
     if offset:
@@ -251,7 +254,7 @@ def range_stats(
     distinct = spans.where(F.col(low) <= F.col(high)).select(*by, low, high).distinct()
     pieces = distinct.withColumn("__bucket", F.explode(F.sequence(first, last)))
     measured = (
-        pieces.join(days, [*by, "__bucket"])
+        pieces.join(days if by else F.broadcast(days), [*by, "__bucket"])
         .where(F.col("__day").between(F.col(low), F.col(high)))
         .groupBy(*by, low, high)
         .agg(*[_merged(n, s[0]).alias(n) for n, s in spec.items()])
@@ -277,8 +280,6 @@ def period_benchmark(
 ) -> DataFrame:
     """Left join of each position to the means of its target month. The facts are
     aggregated to one row per month first, so the join side is as long as the calendar."""
-    from paddock.functions.numeric import mean
-
     monthly = (
         facts.where(F.col(date).isNotNull())
         .groupBy(F.year(date).alias("__year"), F.month(date).alias("__month"))
@@ -286,7 +287,7 @@ def period_benchmark(
     )
     keyed = positions.withColumn("__year", year).withColumn("__month", month)
     return (
-        keyed.join(monthly, ["__year", "__month"], "left")
+        keyed.join(F.broadcast(monthly), ["__year", "__month"], "left")
         .withColumn(has_data, F.col("__n").isNotNull())
         .drop("__year", "__month", "__n")
     )
@@ -304,9 +305,11 @@ def month_offset_lookup(
     moderate_above: float = 1.5,
 ) -> DataFrame:
     """Level of a monthly index at a date and some months later (December at most), the
-    rise between them and its risk band. The index has one row per calendar month."""
-    start = index.select(F.col(month).alias("__m0"), F.col(level).alias("start_level"))
-    end = index.select(F.col(month).alias("__m1"), F.col(level).alias("end_level"))
+    rise between them and its risk band. The index is reduced to one level per calendar
+    month, the lowest, so twelve rows are looked up."""
+    months = index.where(F.col(month).between(1, 12)).groupBy(F.col(month).cast("int").alias("__m")).agg(F.min(level).alias("__level"))
+    start = F.broadcast(months.select(F.col("__m").alias("__m0"), F.col("__level").alias("start_level")))
+    end = F.broadcast(months.select(F.col("__m").alias("__m1"), F.col("__level").alias("end_level")))
     rise = F.col("end_level") - F.col("start_level")
     band = (
         F.when(rise > high_above, "HIGH").when(rise > moderate_above, "MODERATE").when(rise.isNotNull(), "LOW")
@@ -325,10 +328,38 @@ def month_offset_lookup(
 def orphan_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Keys of the child table that the parent does not have."""
     keys = child.where(F.col(key).isNotNull()).select(key).distinct()
-    return keys.join(parent.select(key).distinct(), key, "left_anti")
+    return keys.join(parent.select(key), key, "left_anti")
 
 
 def shared_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Keys both tables have."""
     keys = child.where(F.col(key).isNotNull()).select(key).distinct()
-    return keys.join(parent.select(key).distinct(), key, "left_semi")
+    return keys.join(parent.select(key), key, "left_semi")
+
+
+def key_overlap(parent: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:
+    """Per child table: number of keys the parent does not have, and of keys it shares.
+
+    Each table sets one bit per key. One aggregate by key, combined map-side, tells which
+    tables have it; nothing is joined."""
+
+    def tagged(table: DataFrame, bit: int) -> DataFrame:
+        return table.where(F.col(key).isNotNull()).select(key, F.lit(1 << bit).cast("bigint").alias("__bit"))
+
+    tags = tagged(parent, 0)
+    for i, child in enumerate(children.values()):
+        tags = tags.unionByName(tagged(child, i + 1))
+    seen = tags.groupBy(key).agg(F.bit_or("__bit").alias("__bits"))
+
+    def has(bit: int) -> Column:
+        return F.col("__bits").bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0
+
+    counts = [
+        F.struct(
+            F.lit(name).alias("dataset"),
+            F.count_if(has(i + 1) & ~has(0)).alias("orphans"),
+            F.count_if(has(i + 1) & has(0)).alias("overlap"),
+        )
+        for i, name in enumerate(children)
+    ]
+    return seen.agg(F.array(*counts).alias("__c")).select(F.explode("__c").alias("c")).select("c.*")

@@ -3,49 +3,88 @@
 A plain window puts all rows of a key into one task. Here a key with more rows than
 ``target_rows`` is cut into consecutive chunks first, and what a chunk needs from the
 chunks before it (the last rows of a frame, a running sum) is carried over as a small
-table. Keys below the target keep one chunk, and the carry tables are empty for them.
+table. Finding such keys takes one count over the key columns; when there are none, the
+operators are the plain windows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paddock.functions.numeric import flag
 from paddock.session import ensure_checkpoint_dir
 
 TARGET_ROWS = 2_000_000
+BINS_PER_CHUNK = 64
+BROADCAST_ROWS = 500_000
 CHUNK = "__chunk"
 
 
-def hot_chunks(df: DataFrame, keys: list[str], unit: str, target_rows: int) -> DataFrame:
-    """Chunk number of every (key, unit) of the keys above the target.
-
-    Both counts are combined map-side. At most rows/target keys are hot, and the second
-    count only reads those, so this table stays small next to the data."""
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > target_rows)
-    per_unit = (
-        df.join(hot.select(*keys), keys, "left_semi")
-        .groupBy(*keys, unit)
+def position(df: DataFrame, column: str) -> Column:
+    """Number that grows with a date, timestamp or number column."""
+    kind, col = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+        return (F.unix_date(F.to_date(col)).cast("double") * 86400) + clock
+    return col.cast("double")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcast mark for a checkpointed table whose row count is under the limit."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def chunk_keys(df: DataFrame, keys: list[str], order: str, target_rows: int) -> DataFrame | None:
+    """Adds a chunk number to the rows of keys above the target, null for other keys; None
+    when no key is above it.
+
+    The range of a hot key is cut into bins, the rows per bin are counted (map-side
+    combined), and neighbouring bins are put together up to the target. Keys above the
+    target are at most rows/target, their bins at most ``BINS_PER_CHUNK`` times that."""
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.withColumn("__x", position(df, order))
+    hot = (
+        placed.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__rows"), F.min("__x").alias("__min"), F.max("__x").alias("__max"))
+        .where(F.col("__rows") > target_rows)
+        .withColumn("__bins", F.ceil(F.col("__rows") / target_rows) * BINS_PER_CHUNK)
+        .drop("__rows")
+        .checkpoint()
+    )
+    if hot.isEmpty():
+        return None
+    share = (F.col("__x") - F.col("__min")) / (F.col("__max") - F.col("__min") + 1)
+    binned = (
+        placed.join(_small(hot), keys, "left")
+        .withColumn("__bin", F.when(F.col("__bins").isNotNull(), F.coalesce(F.floor(share * F.col("__bins")), F.lit(-1))))
+        .drop("__x", "__min", "__max", "__bins")
+    )
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = (
+        binned.where(F.col("__bin").isNotNull())
+        .groupBy(*keys, "__bin")
         .agg(F.count(F.lit(1)).alias("__rows"))
+        .withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+        .select(*keys, "__bin", F.floor(F.col("__before") / target_rows).alias(CHUNK))
+        .checkpoint()
     )
-    before = Window.partitionBy(*keys).orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
-    rows_before = F.coalesce(F.sum("__rows").over(before), F.lit(0))
-    return per_unit.select(*keys, unit, F.floor(rows_before / F.lit(target_rows)).alias(CHUNK))
+    return binned.join(_small(chunks), [*keys, "__bin"], "left").drop("__bin")
+
+
+def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.dropna(subset=keys)
 
 
-def with_chunks(
-    df: DataFrame, keys: list[str], unit: Column, target_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """The data with a chunk column (null for keys that are not hot) and its hot part.
+def _measured(value: str, scale: int | None) -> Column:
+    return F.col(value) if scale is None else F.col(value).cast(f"decimal(18,{scale})")
 
-    ``unit`` must grow with the ordering of the timeline, for example the hour of a
-    timestamp; a chunk is a run of whole units."""
-    named = df.withColumn("__unit", unit)
-    chunks = hot_chunks(named, keys, "__unit", target_rows)
-    chunked = named.join(chunks, [*keys, "__unit"], "left").drop("__unit")
-    hot = named.join(chunks, [*keys, "__unit"], "inner").drop("__unit")
-    return chunked, hot
+
+def _frame_mean(measured: Column, frame) -> Column:
+    return F.sum(measured).over(frame).cast("double") / F.nullif(F.count(measured).over(frame), F.lit(0))
 
 
 def trailing_mean(
@@ -54,7 +93,6 @@ def trailing_mean(
     order: list[str],
     value: str,
     *,
-    unit: Column,
     rows: int = 14,
     name: str = "trailing_avg",
     scale: int | None = None,
@@ -64,12 +102,16 @@ def trailing_mean(
     not part of the frame, and the first row of a key gets null.
 
     The frame counts rows, not days. ``order`` must be a total order inside a key."""
-    clean = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    chunked, hot = with_chunks(clean, keys, unit, target_rows)
+    clean, measured = _with_keys(df, keys), _measured(value, scale)
+    chunked = chunk_keys(clean, keys, order[0], target_rows)
+    if chunked is None:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, -1)
+        return clean.withColumn(name, _frame_mean(measured, frame))
 
     last_first = Window.partitionBy(*keys, CHUNK).orderBy(*[F.desc(c) for c in order])
     tails = (
-        hot.select(*keys, CHUNK, *order, value)
+        chunked.where(F.col(CHUNK).isNotNull())
+        .select(*keys, CHUNK, *order, value)
         .withColumn("__rn", F.row_number().over(last_first))
         .where(F.col("__rn") <= rows)
         .groupBy(*keys, CHUNK)
@@ -83,11 +125,10 @@ def trailing_mean(
         .select(*keys, CHUNK, "__r.*", F.lit(True).alias("__carried"))
     )
     both = chunked.withColumn("__carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
-
     frame = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(-rows, -1)
-    measured = F.col(value) if scale is None else F.col(value).cast(f"decimal(18,{scale})")
-    average = F.sum(measured).over(frame).cast("double") / F.nullif(F.count(measured).over(frame), F.lit(0))
-    return both.withColumn(name, average).where(~F.col("__carried")).drop("__carried", CHUNK)
+    return (
+        both.withColumn(name, _frame_mean(measured, frame)).where(~F.col("__carried")).select(*df.columns, name)
+    )
 
 
 def drop_alerts(
@@ -96,23 +137,17 @@ def drop_alerts(
     order: list[str],
     value: str,
     *,
-    unit: Column,
-    rows: int = 14,
     below: float = 0.85,
     name: str = "trailing_avg",
     positive_only: bool = True,
-    scale: int | None = None,
-    target_rows: int = TARGET_ROWS,
+    **options,
 ) -> DataFrame:
     """Rows whose value falls below a share of the trailing mean, with the drop in percent."""
-    measured = trailing_mean(
-        df, keys, order, value, unit=unit, rows=rows, name=name, scale=scale, target_rows=target_rows
-    )
     hit = F.col(value) < F.col(name) * below
     if positive_only:
         hit = hit & (F.col(name) > 0)
     drop_pct = (1 - F.col(value) / F.nullif(F.col(name), F.lit(0.0))) * 100
-    return measured.where(hit).withColumn("drop_pct", drop_pct)
+    return trailing_mean(df, keys, order, value, name=name, **options).where(hit).withColumn("drop_pct", drop_pct)
 
 
 def running_total(
@@ -121,26 +156,32 @@ def running_total(
     order: list[str],
     value: str,
     *,
-    unit: Column,
     name: str = "running_total",
     scale: int | None = None,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Sum of the value from the first row of the key up to the current one."""
-    measured = F.col(value) if scale is None else F.col(value).cast(f"decimal(18,{scale})")
-    clean = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    chunked, hot = with_chunks(clean, keys, unit, target_rows)
+    clean, measured = _with_keys(df, keys), _measured(value, scale)
+    chunked = chunk_keys(clean, keys, order[0], target_rows)
+    if chunked is None:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return clean.withColumn(name, F.sum(measured).over(frame).cast("double"))
+
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        hot.groupBy(*keys, CHUNK)
+        chunked.where(F.col(CHUNK).isNotNull())
+        .groupBy(*keys, CHUNK)
         .agg(F.sum(measured).alias("__sum"))
         .select(*keys, CHUNK, F.sum("__sum").over(earlier).alias("__offset"))
+        .checkpoint()
     )
     frame = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = chunked.withColumn("__inside", F.sum(measured).over(frame))
-    joined = inside.join(offsets, [*keys, CHUNK], "left")
-    running = F.coalesce(F.col("__offset"), F.lit(0)) + F.col("__inside")
-    return joined.withColumn(name, running.cast("double")).drop("__inside", "__offset", CHUNK)
+    running = F.coalesce(F.col("__offset"), F.lit(0)) + F.sum(measured).over(frame)
+    return (
+        chunked.join(_small(offsets), [*keys, CHUNK], "left")
+        .withColumn(name, running.cast("double"))
+        .select(*df.columns, name)
+    )
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rn") -> DataFrame:
@@ -161,7 +202,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
 
     The rows are range-partitioned by the ordering and checkpointed with their partition
     number, then numbered inside each partition on top of the rows in the partitions
-    before it. No task sees more than one range. The ordering must be total."""
+    before it. No task sees more than one range, and the table of offsets has one row per
+    partition. The ordering must be total."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -175,7 +217,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return (
         ranged.withColumn("__inside", inside)
-        .join(offsets, "__part")
+        .join(F.broadcast(offsets), "__part")
         .withColumn(name, F.col("__before") + F.col("__inside"))
         .drop("__part", "__inside", "__before")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from paddock.operators.routing import DEFAULT_CORN_CENTS, DEFAULT_COVERAGE_PCT,
 from paddock.plans import views
 
 GROUP = "pig_group_id"
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 _PNL = ["current_market_cwt", "pnl_per_cwt", "pnl_per_head", "total_pnl"]
 _GROUP_COLUMNS = [
@@ -27,26 +27,27 @@ _SUMMARY_COLUMNS = [
 ]
 
 
-def _marked(tables: Tables, columns: list[str], pnl_columns: list[str], how: str = "left") -> DataFrame:
-    life = tables["lifecycle"].select(*[c for c in columns if c in tables["lifecycle"].columns])
-    return life.join(tables["hedge_pnl"].select(GROUP, *pnl_columns), GROUP, how)
+def _marked(life: DataFrame, pnl: DataFrame, columns: list[str], pnl_columns: list[str], how: str = "left") -> DataFrame:
+    groups = life.select(*[c for c in columns if c in life.columns])
+    return groups.join(pnl.select(GROUP, *pnl_columns), GROUP, how)
 
 
 def group_summary(tables: Tables, group_id) -> DataFrame:
     """One group with its position and mark."""
-    one = {**tables, "lifecycle": tables["lifecycle"].where(F.col(GROUP) == F.lit(group_id))}
-    return _marked(one, _SUMMARY_COLUMNS, _PNL)
+    one = tables["lifecycle"].where(F.col(GROUP) == F.lit(group_id))
+    return _marked(one, tables["hedge_pnl"], _SUMMARY_COLUMNS, _PNL)
 
 
 def all_groups(tables: Tables) -> DataFrame:
-    return _marked(tables, _GROUP_COLUMNS, _PNL).orderBy("est_market_date", GROUP)
+    return _marked(tables["lifecycle"], tables["hedge_pnl"], _GROUP_COLUMNS, _PNL).orderBy("est_market_date", GROUP)
 
 
 def losing_groups(tables: Tables) -> DataFrame:
     """Groups whose position loses, the largest loss first."""
-    losing = {**tables, "hedge_pnl": tables["hedge_pnl"].where(F.col("pnl_per_head") < 0)}
+    losing = tables["hedge_pnl"].where(F.col("pnl_per_head") < 0)
     columns = ["hedge_price_cwt", "current_market_cwt", "pnl_per_head", "total_pnl"]
-    return _marked(losing, [GROUP, "instrument_type", "coverage_percent"], columns, "inner").orderBy("total_pnl", GROUP)
+    marked = _marked(tables["lifecycle"], losing, [GROUP, "instrument_type", "coverage_percent"], columns, "inner")
+    return marked.orderBy("total_pnl", GROUP)
 
 
 def best_packer(tables: Tables) -> DataFrame:

@@ -105,7 +105,7 @@ def weekly_deaths(mortality: DataFrame, group_id=None) -> DataFrame:
     """Weekly deaths with running total, remaining heads and weekly rate, worked out again
     from the deaths and the heads at the start (``start_head``)."""
     rows = mortality if group_id is None else mortality.where(F.col(GROUP) == F.lit(group_id))
-    summed = running_total(rows, [GROUP], ["week_number"], "deaths", unit=F.col("week_number"), name="__dead", scale=0)
+    summed = running_total(rows, [GROUP], ["week_number"], "deaths", name="__dead", scale=0)
     dead = F.col("__dead").cast("bigint")
     before = F.col("start_head") - dead + F.col("deaths")
     return (
@@ -144,7 +144,6 @@ def water_alerts(barn_env: DataFrame, *, scale: int | None = None, **options) ->
         ["site", "barn"],
         ["date"],
         "water_usage_gallons",
-        unit=F.col("date"),
         name="avg14",
         scale=scale,
         **options,

@@ -345,7 +345,9 @@ ORACLES["q_period_benchmark"] = sql(
     FROM hedging h LEFT JOIN m ON m.y = {YEAR} AND m.mo = {MONTH}""",
 )
 ORACLES["q_orphans"] = """
-    SELECT c_custkey AS custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"""
+    SELECT o_orderkey AS orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)"""
+ORACLES["q_shared"] = """
+    SELECT doc_id AS id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
 ORACLES["q_overlap"] = """
     SELECT 'lines' AS dataset, count(*) FILTER (NOT hit) AS orphans, count(*) FILTER (hit) AS overlap
     FROM (SELECT DISTINCT l_orderkey, l_orderkey IN (SELECT o_orderkey FROM orders) AS hit FROM lineitem)

@@ -107,16 +107,29 @@ class Tables:
         return months.select(F.lit("PRRS").alias("disease"), F.lit("2024-25").alias("season"), "*")
 
     def answers(self) -> questions.Tables:
-        return {
-            "lifecycle": self.lifecycle(),
-            "hedge_pnl": self.pnl(),
-            "packer_ranking": self.ranking(),
-            "feed_cost": self.feed(),
-            "hog_dashboard": self.dashboard(),
-            "barn_env": self.barn_days(),
-            "disease": self.disease(),
-            "lrp_quotes": self.lrp_quotes,
-        }
+        return Answers(self)
+
+
+class Answers(dict):
+    """Derived tables by name, put together when they are first asked for."""
+
+    MAKERS = {
+        "lifecycle": Tables.lifecycle,
+        "hedge_pnl": Tables.pnl,
+        "packer_ranking": Tables.ranking,
+        "feed_cost": Tables.feed,
+        "hog_dashboard": Tables.dashboard,
+        "barn_env": Tables.barn_days,
+        "disease": Tables.disease,
+    }
+
+    def __init__(self, tables: Tables):
+        super().__init__()
+        self.tables = tables
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.MAKERS[name](self.tables)
+        return self[name]
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -201,7 +214,7 @@ def q_nearest_value(t: Tables) -> DataFrame:
     return joins.nearest_value(
         t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal"),
         t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal"),
-        "c_acctbal", "s_acctbal", ["s_suppkey"], by=["nation"], key="s_suppkey", width=500.0,
+        "c_acctbal", "s_acctbal", ["s_suppkey"], by=["nation"], key="s_suppkey", width=50.0,
     )
 
 
@@ -238,8 +251,14 @@ def q_period_benchmark(t: Tables) -> DataFrame:
 
 @query
 def q_orphans(t: Tables) -> DataFrame:
-    customers = t.customer.select(F.col("c_custkey").alias("custkey"))
-    return joins.orphan_keys(customers, t.orders.select(F.col("o_custkey").alias("custkey")), "custkey")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("orderkey"))
+    return joins.orphan_keys(t.orders.select(F.col("o_orderkey").alias("orderkey")), lines, "orderkey")
+
+
+@query
+def q_shared(t: Tables) -> DataFrame:
+    documents = t.documents.select(F.col("doc_id").alias("id"))
+    return joins.shared_keys(documents, t.labels.select(F.col("doc_id").alias("id")), "id")
 
 
 @query
@@ -369,8 +388,7 @@ def _readings(t: Tables) -> DataFrame:
 
 @query
 def q_alert(t: Tables) -> DataFrame:
-    hours = F.date_trunc("HOUR", "ts")
-    alerts = timeline.drop_alerts(_readings(t), ["user_id"], ["ts", "event_id"], "value", unit=hours, scale=2)
+    alerts = timeline.drop_alerts(_readings(t), ["user_id"], ["ts", "event_id"], "value", scale=2)
     return alerts.select("user_id", "event_id", "value", "trailing_avg", "drop_pct")
 
 
@@ -388,8 +406,7 @@ def q_water_alerts(t: Tables) -> DataFrame:
 
 @query
 def q_running(t: Tables) -> DataFrame:
-    hours = F.date_trunc("HOUR", "ts")
-    total = timeline.running_total(_readings(t), ["user_id"], ["ts", "event_id"], "value", unit=hours, scale=2)
+    total = timeline.running_total(_readings(t), ["user_id"], ["ts", "event_id"], "value", scale=2)
     return total.select("user_id", "event_id", "value", "running_total")
 
 
