@@ -121,7 +121,7 @@ def trailing_mean(
     back = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(-rows, -1)
     carried = (
         tails.withColumn("__carry", F.flatten(F.collect_list("__tail").over(back)))
-        .select(*keys, CHUNK, F.explode(F.slice("__carry", -F.least(F.lit(rows), F.size("__carry")), rows)).alias("__r"))
+        .select(*keys, CHUNK, F.explode(F.slice("__carry", F.greatest(F.size("__carry") - (rows - 1), F.lit(1)), rows)).alias("__r"))
         .select(*keys, CHUNK, "__r.*", F.lit(True).alias("__carried"))
     )
     both = chunked.withColumn("__carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
