@@ -27,12 +27,22 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top / F.nullif(bottom, F.lit(0).cast("double"))
 
 
+def to_units(col: Column, scale: int | None) -> Column:
+    """Value as a whole number of its last decimal, or as double without a scale.
+
+    Sums of whole numbers are exact, so they do not depend on the order in which executors
+    deliver their parts, and they are added as primitive longs. A sum beyond a long is an
+    error, not a wrong result."""
+    return col.cast("double") if scale is None else F.rint(col * float(10**scale)).cast("bigint")
+
+
+def from_units(col: Column, scale: int | None) -> Column:
+    return col.cast("double") if scale is None else col.cast("double") / float(10**scale)
+
+
 def total(col: Column, scale: int | None = None) -> Column:
-    """Sum as double. With ``scale`` the terms are added as decimals, so the result
-    does not depend on the order in which executors deliver their partial sums."""
-    if scale is None:
-        return F.sum(col.cast("double"))
-    return F.sum(col.cast(f"decimal(18,{scale})")).cast("double")
+    """Sum as double, exact for values of at most ``scale`` decimals."""
+    return from_units(F.sum(to_units(col, scale)), scale)
 
 
 def mean(col: Column, scale: int | None = None) -> Column:

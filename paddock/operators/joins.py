@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.functions.numeric import flag, mean
+from paddock.functions.numeric import flag, from_units, mean, to_units
 
 
 def left_join_suffixed(left: DataFrame, right: DataFrame, on: list[str], suffix: str) -> DataFrame:
@@ -189,7 +189,7 @@ def nearest_value(
 
 # Statistics of range_stats: name -> (day state columns, merged value).
 def _day_states(name: str, kind: str, value: Column, scale: int | None) -> dict[str, Column]:
-    summed = value.cast("double") if scale is None else value.cast(f"decimal(18,{scale})")
+    summed = to_units(value, scale)
     if kind == "count":
         return {f"{name}__n": F.count(value)}
     if kind == "count_if":
@@ -205,13 +205,13 @@ def _day_states(name: str, kind: str, value: Column, scale: int | None) -> dict[
     raise ValueError(f"unknown statistic {kind}")
 
 
-def _merged(name: str, kind: str) -> Column:
+def _merged(name: str, kind: str, scale: int | None) -> Column:
     if kind in ("count", "count_if"):
         return F.sum(f"{name}__n")
     if kind == "sum":
-        return F.sum(f"{name}__s").cast("double")
+        return from_units(F.sum(f"{name}__s"), scale)
     if kind == "avg":
-        return F.sum(f"{name}__s").cast("double") / F.nullif(F.sum(f"{name}__n"), F.lit(0))
+        return from_units(F.sum(f"{name}__s"), scale) / F.nullif(F.sum(f"{name}__n"), F.lit(0))
     if kind in ("min", "max"):
         return getattr(F, kind)(f"{name}__x")
     return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"{name}__x")))), ", ")
@@ -257,7 +257,7 @@ def range_stats(
         pieces.join(days if by else F.broadcast(days), [*by, "__bucket"])
         .where(F.col("__day").between(F.col(low), F.col(high)))
         .groupBy(*by, low, high)
-        .agg(*[_merged(n, s[0]).alias(n) for n, s in spec.items()])
+        .agg(*[_merged(n, s[0], s[2]).alias(n) for n, s in spec.items()])
     )
     joined = spans.join(measured, [*by, low, high], how)
     counted = [n for n, s in spec.items() if s[0].startswith("count")]

@@ -30,15 +30,15 @@ ACCEPT_ABOVE, REMATCH_ABOVE = 0.45, 0.40
 
 
 def _value_flags(field: T.StructField, i: int) -> dict[str, Column]:
-    """Per row: is the value a number, does it look like a date, is it one, how long is it."""
+    """Per row: is the value a number, does it look like a date, is it one, how long is its
+    text. Columns of a number type are numbers without a look at the values."""
     col = F.col(f"`{field.name}`")
     text, seen = col.cast("string"), col.isNotNull()
     if isinstance(field.dataType, T.NumericType):
-        number, marked, dated = F.lit(1.0), F.lit(0.0), F.lit(0.0)
+        number, marked, dated, text = F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(None).cast("string")
     else:
-        marks = text.rlike(r"[/\-]")
         number = to_number(text).isNotNull().cast("double")
-        marked = marks.cast("double")
+        marked = text.rlike(r"[/\-]").cast("double")
         dated = parse_date(text).isNotNull().cast("double")
     return {
         f"number{i}": F.when(seen, number),
@@ -58,7 +58,7 @@ def _column_facts(field: T.StructField, i: int) -> Column:
         F.avg(f"marked{i}").alias("date_mark_rate"),
         F.avg(f"dated{i}").alias("date_rate"),
         F.avg(f"length{i}").alias("avg_length"),
-        F.hll_sketch_estimate(F.hll_sketch_agg(col.cast("string"))).alias("n_distinct"),
+        F.hll_sketch_estimate(F.hll_sketch_agg(F.when(col.isNotNull(), F.xxhash64(col)))).alias("n_distinct"),
     )
 
 
@@ -96,6 +96,17 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return rows.withColumn("type", kind).withColumn("confidence", sure).withColumn("null_rate", null_rate)
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Exact number of distinct values per column, nulls not counted.
+
+    All columns are turned into (column, value) rows in one scan and combined map-side, so
+    a value that fills a third of a column costs one row per task."""
+    names = list(columns or df.columns)
+    pairs = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in names])
+    values = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
+    return values.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
 # Matching works on column names and guessed types: metadata of a table, not its rows.
 
 

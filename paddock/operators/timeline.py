@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.functions.numeric import flag
+from paddock.functions.numeric import flag, from_units, to_units
 from paddock.session import ensure_checkpoint_dir
 
 TARGET_ROWS = 2_000_000
 BINS_PER_CHUNK = 64
 BROADCAST_ROWS = 500_000
+SMALL_ROWS = 100_000
 CHUNK = "__chunk"
 
 
@@ -79,12 +80,9 @@ def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropna(subset=keys)
 
 
-def _measured(value: str, scale: int | None) -> Column:
-    return F.col(value) if scale is None else F.col(value).cast(f"decimal(18,{scale})")
-
-
-def _frame_mean(measured: Column, frame) -> Column:
-    return F.sum(measured).over(frame).cast("double") / F.nullif(F.count(measured).over(frame), F.lit(0))
+def _frame_mean(value: str, scale: int | None, frame) -> Column:
+    units = to_units(F.col(value), scale)
+    return from_units(F.sum(units).over(frame), scale) / F.nullif(F.count(value).over(frame), F.lit(0))
 
 
 def trailing_mean(
@@ -102,11 +100,11 @@ def trailing_mean(
     not part of the frame, and the first row of a key gets null.
 
     The frame counts rows, not days. ``order`` must be a total order inside a key."""
-    clean, measured = _with_keys(df, keys), _measured(value, scale)
+    clean = _with_keys(df, keys)
     chunked = chunk_keys(clean, keys, order[0], target_rows)
     if chunked is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, -1)
-        return clean.withColumn(name, _frame_mean(measured, frame))
+        return clean.withColumn(name, _frame_mean(value, scale, frame))
 
     last_first = Window.partitionBy(*keys, CHUNK).orderBy(*[F.desc(c) for c in order])
     tails = (
@@ -127,7 +125,7 @@ def trailing_mean(
     both = chunked.withColumn("__carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
     frame = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(-rows, -1)
     return (
-        both.withColumn(name, _frame_mean(measured, frame)).where(~F.col("__carried")).select(*df.columns, name)
+        both.withColumn(name, _frame_mean(value, scale, frame)).where(~F.col("__carried")).select(*df.columns, name)
     )
 
 
@@ -161,25 +159,25 @@ def running_total(
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Sum of the value from the first row of the key up to the current one."""
-    clean, measured = _with_keys(df, keys), _measured(value, scale)
+    clean, units = _with_keys(df, keys), to_units(F.col(value), scale)
     chunked = chunk_keys(clean, keys, order[0], target_rows)
     if chunked is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return clean.withColumn(name, F.sum(measured).over(frame).cast("double"))
+        return clean.withColumn(name, from_units(F.sum(units).over(frame), scale))
 
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         chunked.where(F.col(CHUNK).isNotNull())
         .groupBy(*keys, CHUNK)
-        .agg(F.sum(measured).alias("__sum"))
+        .agg(F.sum(units).alias("__sum"))
         .select(*keys, CHUNK, F.sum("__sum").over(earlier).alias("__offset"))
         .checkpoint()
     )
     frame = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = F.coalesce(F.col("__offset"), F.lit(0)) + F.sum(measured).over(frame)
+    running = F.coalesce(F.col("__offset"), F.lit(0)) + F.sum(units).over(frame)
     return (
         chunked.join(_small(offsets), [*keys, CHUNK], "left")
-        .withColumn(name, running.cast("double"))
+        .withColumn(name, from_units(running, scale))
         .select(*df.columns, name)
     )
 
@@ -197,17 +195,22 @@ def latest_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return newest.orderBy(*order)
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
+def global_rank(
+    df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None, small: int = SMALL_ROWS
+) -> DataFrame:
     """Position of every row in an ordering of the whole table, from 1.
 
-    The rows are range-partitioned by the ordering and checkpointed with their partition
-    number, then numbered inside each partition on top of the rows in the partitions
-    before it. No task sees more than one range, and the table of offsets has one row per
-    partition. The ordering must be total."""
+    The table is checkpointed and counted. Up to ``small`` rows are numbered in one task.
+    A longer table is range-partitioned by the ordering and checkpointed with the partition
+    numbers; each partition is then numbered on top of the rows in the partitions before
+    it, which is a table of one row per partition. The ordering must be total."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    base = df.checkpoint()
+    if base.count() <= small:
+        return base.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    ranged = base.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("__part")

@@ -95,7 +95,8 @@ def disease_context(tables: Tables, group_id=None, season: str = "2024-25") -> D
 
 def weekly_summary(tables: Tables, below: float = views.LOW_COVERAGE) -> DataFrame:
     """Findings of the week, one row each: the strongest and weakest group by gain per
-    head, every group with low coverage, the best packer and the latest feed cost."""
+    head, every group with low coverage, the best packer, the latest feed cost and, with
+    barn readings at hand, the number of latest water alerts."""
     groups = tables["hedge_pnl"].where(F.col("pnl_per_head").isNotNull())
     edges = [
         ("strongest", groups.orderBy(F.desc("pnl_per_head"), GROUP).limit(1), "pnl_per_head"),
@@ -118,6 +119,9 @@ def weekly_summary(tables: Tables, below: float = views.LOW_COVERAGE) -> DataFra
     rows.append(
         feed.select(F.lit("feed_cost").alias("finding"), F.col("date").cast("string").alias("subject"), F.col("feed_cost_per_head").alias("value"))
     )
+    if "barn_env" in tables:
+        alerts = barn_alerts(tables).agg(F.count(F.lit(1)).cast("double").alias("value"))
+        rows.append(alerts.select(F.lit("barn_alerts").alias("finding"), F.lit("water").alias("subject"), "value"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

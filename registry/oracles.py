@@ -51,6 +51,12 @@ def nearest(left: str, right: str, on: str, right_on: str, value: str, out: str,
       QUALIFY row_number() OVER (PARTITION BY {lkeys} l.{on} ORDER BY abs(datediff('day', l.{on}, r.d)), r.d) = 1"""
 
 
+def trailing(table: str, keys: str, order: str, value: str, rows: int, out: str) -> str:
+    frame = f"OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
+    exact = f"cast(sum(cast({value} as decimal(18,2))) {frame} as double)"
+    return f"SELECT *, {exact} / nullif(count({value}) {frame}, 0) AS {out} FROM {table}"
+
+
 SYMBOL = (
     "concat('HE', case split_part(contract_month, '-', 2) when 'Jan' then 'G' when 'Feb' then 'G' when 'Mar' then 'J' "
     "when 'Apr' then 'J' when 'May' then 'K' when 'Jun' then 'M' when 'Jul' then 'N' when 'Aug' then 'Q' "
@@ -483,12 +489,6 @@ ORACLES["q_ratio_of_sums"] = sql(
 # Timelines -----------------------------------------------------------------------------
 
 
-def trailing(table: str, keys: str, order: str, value: str, rows: int, out: str) -> str:
-    frame = f"OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
-    exact = f"cast(sum(cast({value} as decimal(18,2))) {frame} as double)"
-    return f"SELECT *, {exact} / nullif(count({value}) {frame}, 0) AS {out} FROM {table}"
-
-
 ORACLES["q_alert"] = f"""
     SELECT user_id, event_id, value, trailing_avg, (1 - value / nullif(trailing_avg, 0)) * 100 AS drop_pct
     FROM ({trailing("events", "user_id", "ts, event_id", "value", 14, "trailing_avg")})
@@ -669,15 +669,18 @@ ORACLES["q_recommend"] = sql(
     CROSS JOIN (SELECT * FROM ranking WHERE rank = 1) r""",
 )
 ORACLES["q_insight"] = sql(
-    "pnl ranking feed",
-    """
+    "pnl ranking feed barn_days",
+    f"""
     SELECT * FROM (SELECT 'strongest' AS finding, cast(pig_group_id as string) AS subject, pnl_per_head AS value FROM pnl
       WHERE pnl_per_head IS NOT NULL ORDER BY pnl_per_head DESC, pig_group_id LIMIT 1)
     UNION ALL SELECT * FROM (SELECT 'weakest', cast(pig_group_id as string), pnl_per_head FROM pnl
       WHERE pnl_per_head IS NOT NULL ORDER BY pnl_per_head, pig_group_id LIMIT 1)
     UNION ALL SELECT 'low_coverage', cast(pig_group_id as string), coverage_pct FROM pnl WHERE coverage_pct < 0.55
     UNION ALL SELECT 'best_packer', concat(packer, ' ', contract_type), advantage_per_head FROM ranking WHERE rank = 1
-    UNION ALL SELECT * FROM (SELECT 'feed_cost', cast(date as string), feed_cost_per_head FROM feed ORDER BY date DESC LIMIT 1)""",
+    UNION ALL SELECT * FROM (SELECT 'feed_cost', cast(date as string), feed_cost_per_head FROM feed ORDER BY date DESC LIMIT 1)
+    UNION ALL SELECT 'barn_alerts', 'water', cast(least(count(*), 5) as double)
+      FROM ({trailing("barn_days", "site, barn", "date", "water_usage_gallons", 14, "avg14")})
+      WHERE water_usage_gallons < avg14 * 0.85 AND avg14 > 0""",
 )
 
 # Quality ---------------------------------------------------------------------------------
@@ -707,6 +710,10 @@ ORACLES["q_profile"] = sql(
       (n_rows - n_values) / nullif(n_rows, 0) AS null_rate
     FROM ({" UNION ALL ".join(_profiled(c) for c in _RAW_COLUMNS)})""",
 )
+ORACLES["q_distinct_counts"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM orders"
+    for c in ("o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice")
+)
 _RATES = [f'(count(*) - count("{c}"))::double / count(*)' for c in _RAW_COLUMNS]
 ORACLES["q_null_rate"] = sql("raw_rows", f"SELECT ({' + '.join(_RATES)}) / {len(_RATES)} AS mean_null_rate FROM raw_rows")
 ORACLES["q_map"] = sql(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paddock.functions.dates import contract_yyyymm, parse_date, parse_yyyymmdd
-from paddock.functions.numeric import clip, flag
+from paddock.functions.numeric import clip, flag, from_units, to_units
 from paddock.functions.text import comma_number, lookup, snake_columns, strip_columns, to_number
 from paddock.operators import aggregates as agg
 from paddock.operators import joins, quality, routing, scenarios, timeline
@@ -127,6 +127,9 @@ class Answers(dict):
         super().__init__()
         self.tables = tables
 
+    def __contains__(self, name: object) -> bool:
+        return name in self.MAKERS
+
     def __missing__(self, name: str) -> DataFrame:
         self[name] = self.MAKERS[name](self.tables)
         return self[name]
@@ -271,12 +274,12 @@ def q_overlap(t: Tables) -> DataFrame:
 
 @query
 def q_scalar_broadcast(t: Tables) -> DataFrame:
-    per_customer = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("spent"))
+    per_customer = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum(to_units(F.col("o_totalprice"), 2)).alias("spent"))
     revenue = (
         per_customer.join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
         .groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sum("spent").alias("revenue"))
         .join(t.nation.select("n_nationkey", "n_name"), "n_nationkey")
-        .select("n_name", F.col("revenue").cast("double").alias("revenue"))
+        .select("n_name", from_units(F.col("revenue"), 2).alias("revenue"))
     )
     return joins.with_scalars(revenue, lowest=revenue.agg(F.min("revenue"))).withColumn("lead", F.col("revenue") - F.col("lowest"))
 
@@ -583,6 +586,11 @@ def q_profile(t: Tables) -> DataFrame:
     return quality.profile(raw).select("column", "n_rows", "n_values", "numeric_rate", "type", "null_rate")
 
 
+@query
+def q_distinct_counts(t: Tables) -> DataFrame:
+    return quality.distinct_counts(t.orders, ["o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice"])
+
+
 @query
 def q_null_rate(t: Tables) -> DataFrame:
     return agg.mean_null_rate(t.raw_rows)

@@ -87,9 +87,10 @@ def test_drop_alerts(spark):
     assert {r["seq"]: r["drop_pct"] for r in unguarded.collect()}[11] is None
 
 
-def test_global_rank_numbers_every_row_once(spark):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_global_rank_numbers_every_row_once(spark, small):
     df = spark.createDataFrame([(i, float(i * 7919 % 101)) for i in range(500)], "id int, score double")
-    out = timeline.global_rank(df, [F.desc("score"), F.asc("id")], partitions=7)
+    out = timeline.global_rank(df, [F.desc("score"), F.asc("id")], partitions=7, small=small)
     got = [(r["rank"], -r["score"], r["id"]) for r in out.collect()]
     assert sorted(r[0] for r in got) == list(range(1, 501))
     assert [r[1:] for r in sorted(got)] == sorted(r[1:] for r in got)
