@@ -40,11 +40,18 @@ _WORDED = f"^{_BLANK}(?:([A-Za-z]{{3}})[a-z]* (\\d{{1,2}}),? (\\d{{4}})|(\\d{{1,
 _WORDED_DAY = "$2$4 $1$5 $3$6"
 
 
+# Every form has a year of four digits or two slashes; most files have the plain form.
+_NO_DATE_WITHOUT = r"\d{4}|\d/\d{1,2}/\d"
+_PLAIN = r"^\d{4}-\d{2}-\d{2}$"
+
+
 def parse_date(col: Column) -> Column:
     """Date in a text of mixed formats, month before day, null when it does not parse."""
     text = col.cast("string")
     return (
-        F.when(text.rlike(_NUMERIC), F.regexp_replace(text, _NUMERIC, _NUMERIC_ISO).try_cast("date"))
+        F.when(text.rlike(_PLAIN), text.try_cast("date"))
+        .when(~text.rlike(_NO_DATE_WITHOUT), F.lit(None).cast("date"))
+        .when(text.rlike(_NUMERIC), F.regexp_replace(text, _NUMERIC, _NUMERIC_ISO).try_cast("date"))
         .when(text.rlike(_SHORT_YEAR), F.regexp_replace(text, _SHORT_YEAR, _SHORT_YEAR_ISO).try_cast("date"))
         .when(text.rlike(_WORDED), F.try_to_date(F.regexp_replace(text, _WORDED, _WORDED_DAY), "d MMM yyyy"))
     )

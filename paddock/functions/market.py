@@ -65,7 +65,7 @@ def scenario_pnl_per_cwt(instrument: Column, price: Column, premium: Column, mar
     position without a market price still costs its premium."""
     return (
         F.when(flag(instrument == FUTURES), price - market)
-        .when(market.isNull(), -premium)
+        .when(market.isNull(), 0 - premium)
         .otherwise(protected_payoff(price, premium, market))
     )
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def round_even(col: Column, digits: int) -> Column:
-    """Round half to even after scaling, the way array libraries round doubles."""
+    """Round half to even after scaling, the way array libraries round doubles; never the
+    negative zero."""
     factor = float(10**digits)
-    return F.rint(col * factor) / factor
+    return F.rint(col * factor) / factor + F.lit(0.0)
 
 
 def flag(condition: Column) -> Column:

@@ -29,12 +29,12 @@ def with_scalars(df: DataFrame, **values: DataFrame) -> DataFrame:
     return df.withColumns({name: one.scalar() for name, one in values.items()})
 
 
-def pair_with(df: DataFrame, choices: DataFrame, into: str = "choice") -> DataFrame:
-    """Pairs every row with every row of a short list, such as a top-3 ranking.
-
-    The list must be cut by a limit before: it travels as one array value and is
-    exploded in place, without a join."""
-    listed = choices.agg(F.sort_array(F.collect_list(F.struct(*choices.columns)))).scalar()
+def pair_with(df: DataFrame, choices: DataFrame, order: list[str], k: int, into: str = "choice") -> DataFrame:
+    """Pairs every row with each of the first ``k`` rows of another table, such as a top-3
+    ranking. The k rows travel as one array value and are exploded in place, without a join."""
+    first = choices.select(F.struct(*order, *[c for c in choices.columns if c not in order]).alias("__c"))
+    first = first.orderBy("__c").limit(k)
+    listed = first.agg(F.sort_array(F.collect_list("__c"))).scalar()
     return df.withColumn("__list", listed).select(*df.columns, F.explode("__list").alias(into))
 
 

@@ -29,50 +29,49 @@ SAME_TYPE_BONUS, DATE_CLASH, TEXT_NUMBER_CLASH = 0.20, 0.15, 0.10
 ACCEPT_ABOVE, REMATCH_ABOVE = 0.45, 0.40
 
 
-def _value_flags(field: T.StructField, i: int) -> dict[str, Column]:
-    """Per row: is the value a number, does it look like a date, is it one, how long is its
-    text. Columns of a number type are numbers without a look at the values."""
-    col = F.col(f"`{field.name}`")
-    text, seen = col.cast("string"), col.isNotNull()
-    if isinstance(field.dataType, T.NumericType):
-        number, marked, dated, text = F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(None).cast("string")
-    else:
-        number = to_number(text).isNotNull().cast("double")
-        marked = text.rlike(r"[/\-]").cast("double")
-        dated = parse_date(text).isNotNull().cast("double")
-    return {
-        f"number{i}": F.when(seen, number),
-        f"marked{i}": F.when(seen, marked),
-        f"dated{i}": F.when(seen, dated),
-        f"length{i}": F.length(text),
-    }
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per value: the column, its text, a hash that is null for a missing value,
+    and whether the column is of a number type (those carry no text)."""
+
+    def value(field: T.StructField) -> Column:
+        col = F.col(f"`{field.name}`")
+        numbers = isinstance(field.dataType, T.NumericType)
+        return F.struct(
+            F.lit(field.name).alias("column"),
+            F.lit(None).cast("string").alias("text") if numbers else col.cast("string").alias("text"),
+            F.when(col.isNotNull(), F.xxhash64(col)).alias("mark"),
+            F.lit(numbers).alias("numbers"),
+        )
 
-
-def _column_facts(field: T.StructField, i: int) -> Column:
-    col = F.col(f"`{field.name}`")
-    return F.struct(
-        F.lit(field.name).alias("column"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(col).alias("n_values"),
-        F.avg(f"number{i}").alias("numeric_rate"),
-        F.avg(f"marked{i}").alias("date_mark_rate"),
-        F.avg(f"dated{i}").alias("date_rate"),
-        F.avg(f"length{i}").alias("avg_length"),
-        F.hll_sketch_estimate(F.hll_sketch_agg(F.when(col.isNotNull(), F.xxhash64(col)))).alias("n_distinct"),
-    )
+    fields = [f for f in df.schema.fields if f.name in set(columns)]
+    return df.select(F.explode(F.array(*[value(f) for f in fields])).alias("v")).select("v.*")
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: counts, rates and the guessed type with its confidence.
 
-    All columns are measured in one pass over all rows. The number of distinct values comes
-    from a sketch that lists the values while they are few, so the ten of a category are
-    counted and only larger numbers are estimates."""
-    wanted = set(columns or df.columns)
-    fields = [f for f in df.schema.fields if f.name in wanted]
-    flags = {n: c for i, f in enumerate(fields) for n, c in _value_flags(f, i).items()}
-    facts = [_column_facts(f, i) for i, f in enumerate(fields)]
-    rows = df.select(*[f"`{f.name}`" for f in fields]).withColumns(flags).agg(F.array(*facts).alias("__facts")).select(F.explode("__facts").alias("f")).select("f.*")
+    All columns are measured in one pass over all rows and combined map-side, to one row
+    per column and task. The number of distinct values comes from a sketch that lists the
+    values while they are few, so the ten of a category are counted and only larger
+    numbers are estimates."""
+
+    def rate(condition: Column) -> Column:
+        return F.avg(F.when(F.col("mark").isNotNull(), condition.cast("double")))
+
+    text, numbers = F.col("text"), F.col("numbers")
+    rows = (
+        _values(df, columns or df.columns)
+        .groupBy("column")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count("mark").alias("n_values"),
+            rate(numbers | to_number(text).isNotNull()).alias("numeric_rate"),
+            rate(flag(text.rlike(r"[/\-]"))).alias("date_mark_rate"),
+            rate(parse_date(text).isNotNull()).alias("date_rate"),
+            F.avg(F.length(text)).alias("avg_length"),
+            F.hll_sketch_estimate(F.hll_sketch_agg("mark")).alias("n_distinct"),
+        )
+    )
     kind = (
         F.when(F.col("n_values") == 0, "unknown")
         .when(F.col("numeric_rate") > MOSTLY, "numeric")

@@ -206,9 +206,9 @@ def quote_comparison(
 
 def packer_choices(groups: DataFrame, ranking: DataFrame, k: int = 3) -> DataFrame:
     """Each group with the best packers and what shipping there gains for its heads."""
-    best = ranking.orderBy("rank").limit(k).select("rank", "packer", "contract_type", "avg_eval_cwt", "advantage_per_head")
+    best = ranking.select("rank", "packer", "contract_type", "avg_eval_cwt", "advantage_per_head")
     return (
-        pair_with(groups, best)
+        pair_with(groups, best, ["rank"], k)
         .select(*groups.columns, "choice.*")
         .withColumn("savings", F.col("advantage_per_head") * F.col("head_to_finisher"))
     )

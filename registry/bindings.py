@@ -131,7 +131,7 @@ BINDINGS: dict[str, tuple[str, dict[str, str], str | None]] = {
             "delivered_head": "cast(l_quantity as bigint)",
             "base_price_cwt": _cents("l_extendedprice", 6000, 3000),
             "matrix_premium_cwt": "l_discount * 10",
-            "sort_loss_cwt": "-l_tax * 10",
+            "sort_loss_cwt": "(0 - l_tax) * 10",
             "vob_cwt": "l_quantity / 100",
             "eval_price_cwt": (
                 "cast(6000 + cast(floor(l_extendedprice) as bigint) % 3000 + cast(l_quantity as bigint) as double) / 100"

@@ -8,7 +8,7 @@ from registry.queries import POINT_USER, TABLES
 DERIVED: dict[str, tuple[list[str], str]] = {}
 ORACLES: dict[str, str] = {}
 
-_EVEN = "round_even({} * {f}, 0) / {f}"
+_EVEN = "(round_even({} * {f}, 0) / {f} + 0::double)"
 
 
 def even(expr: str, digits: int) -> str:
@@ -619,7 +619,7 @@ DERIVED["moved"] = (
     """
     SELECT *, scenario_pnl_cwt * 2.10 AS scenario_pnl_head, scenario_pnl_cwt * 2.10 * head_covered AS scenario_total_pnl FROM (
       SELECT *, case when instrument_type = 'Lean Hog Futures' then hedge_price_cwt - scenario_market
-          when scenario_market is null then -premium_cwt
+          when scenario_market is null then 0 - premium_cwt
           else greatest(0::double, hedge_price_cwt - premium_cwt - scenario_market) - premium_cwt end AS scenario_pnl_cwt
       FROM (SELECT p.*, d.delta_cwt, p.current_market_cwt + d.delta_cwt AS scenario_market
             FROM pnl p CROSS JOIN (SELECT unnest([-10.0, -5.0, 5.0, 10.0])::double AS delta_cwt) d))""",

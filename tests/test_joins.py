@@ -162,8 +162,8 @@ def test_scalars_and_pairs_without_joins(spark, rows):
     df = spark.createDataFrame([(1, 10.0), (2, 30.0)], "id int, v double")
     scaled = joins.with_scalars(df, low=df.agg(F.min("v")))
     assert rows(scaled) == [(1, 10.0, 10.0), (2, 30.0, 10.0)]
-    top = df.select(F.col("id").alias("rank")).orderBy("rank").limit(2)
-    paired = joins.pair_with(df.select("id"), top)
+    ranking = spark.range(9).select((9 - F.col("id")).alias("rank"))
+    paired = joins.pair_with(df.select("id"), ranking, ["rank"], 2)
     assert rows(paired.select("id", "choice.rank")) == [(1, 1), (1, 2), (2, 1), (2, 2)]
     for plan in (plan_of(scaled), plan_of(paired)):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
