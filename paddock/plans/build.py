@@ -31,6 +31,7 @@ from paddock.operators.joins import (
     period_benchmark,
     range_stats,
 )
+from paddock.sources.writers import write_parquet
 
 GROUP = "pig_group_id"
 DAYS_TO_MARKET = 112
@@ -493,3 +494,11 @@ def build_all(
         "endpointlist": endpoint,
     }
     return tables | {n: t for n, t in (extras or {}).items() if t is not None}
+
+
+def write_all(tables: dict[str, DataFrame], folder: str) -> list[dict]:
+    """Writes every derived table as Parquet, futures closes by commodity; returns the
+    manifest entries."""
+    return [
+        write_parquet(t, folder, n, ["commodity"] if n == "endpointlist" else []) for n, t in tables.items()
+    ]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from paddock.operators import aggregates, scenarios
 from paddock.plans import build, cleanup, questions, views
+from paddock.sources.readers import read_table
 
 
 def d(text):
@@ -299,7 +300,7 @@ def test_quote_comparison(spark):
     assert [(r["lrp_cost_cwt"], r["savings"]) for r in views.quote_comparison(quotes).collect()] == [(2.0, 1.0)]
 
 
-def test_build_all_names_every_table(spark, nursery, flow, hedging, endpoint):
+def test_build_all_names_and_writes_every_table(spark, tmp_path, nursery, flow, hedging, endpoint):
     env = spark.createDataFrame([], "site string, barn string, date date, avg_temperature_f double, avg_humidity_pct double, water_usage_gallons double")
     packer = spark.createDataFrame([("A", "LEAN", 1, d("2025-06-01"), 90.0, 1.0, 1.0, 1.0, 93.0, 5)],
                                    "packer string, contract_type string, settlement_id int, kill_date date, base_price_cwt double, matrix_premium_cwt double, sort_loss_cwt double, vob_cwt double, eval_price_cwt double, delivered_head int")
@@ -309,3 +310,6 @@ def test_build_all_names_every_table(spark, nursery, flow, hedging, endpoint):
     out = build.build_all(spark, producer, endpoint, cash, indexes, {"weather": cash, "disease": None})
     assert len(out) == 14 and "disease" not in out
     assert out["lifecycle"].count() == 4 and out["packer_basis"].first()["basis_vs_cme_index"] == 5.0
+    entries = build.write_all({n: out[n] for n in ("hedge_pnl", "endpointlist")}, str(tmp_path))
+    assert [(e["file"], e["rows"]) for e in entries] == [("hedge_pnl", 3), ("endpointlist", 9)]
+    assert read_table(spark, "endpointlist", str(tmp_path)).where("commodity = 'ZC'").count() == 3

@@ -105,6 +105,30 @@ def test_cleaning_a_folder(spark, tmp_path):
     assert readers.read_delimited(spark, f"{out}/western_colt.csv").first()["estimated_today"] == "1234.0"
 
 
+def test_a_whole_run_writes_a_manifest(spark, tmp_path):
+    raw, futures, out = tmp_path / "raw", tmp_path / "futures", str(tmp_path / "out")
+    raw.mkdir()
+    futures.mkdir()
+    put(raw, "Sales.csv", "Date,Weekly Exports\n1/9/2025,5\n1/2/2025,6\n")
+    put(futures, "HEM25 HISTORY.csv", "Symbol,Time,Open,High,Low,Close,Volume,Open Interest\nHEM25,2025-01-02,1,2,0.5,x,,\n")
+    nursery = ",".join(PRODUCER_SCHEMAS["nursery"].fieldNames())
+    flow = ",".join(PRODUCER_SCHEMAS["flow"].fieldNames())
+    paths = {
+        "nursery": put(tmp_path, "n.csv", f"{nursery}\nPG-1,1/1/2025,N,1,S,W,100,100,12,21,Negative,1,x\nPG-2,1/2/2025,N,2,S,W,100,90,12,21,Negative,1,x\n"),
+        "flow": put(tmp_path, "f.csv", f"{flow}\nPG-1,3/1/2025,N,1,Finisher E,F1,Transfer,96,50,m\nPG-2,3/1/2025,N,2,Finisher E,F2,Transfer,91,50,m\nPG-3,3/1/2025,N,2,Finisher E,F2,Transfer,91,50,k\n"),
+    }
+    manifest = cleanup.run(spark, out, market=str(raw), futures=[str(futures)], producer=paths)
+    assert [(e["file"], e["rows"]) for g in ("market", "futures", "producer") for e in manifest[g]] == [
+        ("sales.csv", 2), ("hem25_history.csv", 1), ("nursery.csv", 2), ("flow.csv", 3),
+    ]
+    assert manifest["producer"][0]["columns"] == ["pig_group_id", "placement_date", "nursery_barn", "received_head"]
+    assert manifest["validation"]["keys"] == {"flow": {"orphans": 1, "overlap": 2}}
+    assert manifest["validation"]["head_reconciliation"] == {"loss": 1, "issue": 1}
+    assert manifest["month_codes"]["M"] == "Jun"
+    assert writers.read_manifest(spark, f"{out}/manifest") == manifest
+    assert readers.read_table(spark, "head_reconciliation", out).count() == 2
+
+
 def test_schemas():
     assert {n: len(r) for n, r in UPLOAD_SCHEMAS.items()} == {
         "Nursery Intake": 8, "Packer Settlement": 11, "Accounting / Costs": 10, "Hedging Positions": 8, "Barn Environmental": 7,
