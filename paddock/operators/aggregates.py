@@ -9,15 +9,10 @@ from pyspark.sql import functions as F
 
 from paddock.functions.market import CWT_PER_HEAD
 from paddock.functions.numeric import mean, round_even, total
-from paddock.operators.joins import with_scalars
+from paddock.operators.joins import not_null, with_scalars
 from paddock.operators.timeline import global_rank
 
 
-def not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows where none of the columns is null; group keys with nulls are left out this way."""
-    return df.dropna(subset=list(columns))
-
-
 def measures(
     df: DataFrame,
     by: list[str],

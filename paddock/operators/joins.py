@@ -13,6 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.numeric import flag, from_units, mean, to_units
+from paddock.operators.timeline import CHUNK, TARGET_ROWS, chunk_keys
+from paddock.session import ensure_checkpoint_dir
+
+
+def not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows where none of the columns is null; group keys with nulls are left out this way."""
+    return df.dropna(subset=list(columns))
 
 
 def left_join_suffixed(left: DataFrame, right: DataFrame, on: list[str], suffix: str) -> DataFrame:
@@ -126,50 +133,57 @@ def nearest_value(
     *,
     by: list[str],
     key: str,
-    width: float,
     difference: str = "price_diff",
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Inner join to the right row of the same group whose value is nearest.
 
     On equal distance the lower ``key`` wins. Groups without right rows are left out.
 
-    Values are cut into buckets of ``width``. Inside a bucket the neighbours come from a
-    window over distinct values; what lies in other buckets is carried over as the
-    nearest filled bucket on each side. No pairs of a group are formed."""
+    Distinct values of both sides are put on one axis per group, and a window finds the
+    right value below and above each left value. The axis of a large group is cut into
+    chunks; what lies in other chunks is carried over as the nearest one on each side. No
+    pairs of a group are formed."""
     points = (
-        right.where(F.col(right_value).isNotNull())
-        .groupBy(*by, F.col(right_value).alias("__v"))
+        not_null(right, [*by, right_value])
+        .groupBy(*by, F.col(right_value).cast("double").alias("__v"))
         .agg(F.min_by(F.struct(key, *[c for c in payload if c != key]), key).alias("__p"))
         .select(*by, "__v", F.struct("__v", "__p").alias("__right"))
     )
-    probes = left.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v")).distinct()
-    bucket = F.floor(F.col("__v") / width)
-    axis = points.unionByName(probes, allowMissingColumns=True).withColumn("__bucket", bucket)
+    probes = not_null(left, [*by, value]).select(*by, F.col(value).cast("double").alias("__v")).distinct()
+    ensure_checkpoint_dir(left.sparkSession)
+    axis = points.unionByName(probes, allowMissingColumns=True).checkpoint()
+    below, above = Window.unboundedPreceding, Window.unboundedFollowing
+
+    def neighbours(rows: DataFrame, within: list[str]) -> DataFrame:
+        line = Window.partitionBy(*within).orderBy("__v")
+        return (
+            rows.withColumn("__lo", F.last("__right", True).over(line.rangeBetween(below, 0)))
+            .withColumn("__hi", F.first("__right", True).over(line.rangeBetween(0, above)))
+            .where(F.col("__right").isNull())
+        )
 
-    edges = axis.groupBy(*by, "__bucket").agg(
-        F.max_by("__right", F.when(F.col("__right").isNotNull(), F.col("__v"))).alias("__top"),
-        F.min_by("__right", F.when(F.col("__right").isNotNull(), F.col("__v"))).alias("__bottom"),
-    )
-    line = Window.partitionBy(*by).orderBy("__bucket")
-    carry = edges.select(
-        *by,
-        "__bucket",
-        F.last("__top", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__below"),
-        F.first("__bottom", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__above"),
-    )
-    inside = Window.partitionBy(*by, "__bucket").orderBy("__v")
-    near = (
-        axis.withColumn("__lo", F.last("__right", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__hi", F.first("__right", True).over(inside.rangeBetween(0, Window.unboundedFollowing)))
-        .where(F.col("__right").isNull())
-        .join(carry, [*by, "__bucket"])
-        .select(
+    chunked = chunk_keys(axis, by, ["__v"], target_rows)
+    if chunked is None:
+        near = neighbours(axis, by)
+    else:
+        filled = F.when(F.col("__right").isNotNull(), F.col("__v"))
+        edges = chunked.groupBy(*by, CHUNK).agg(
+            F.max_by("__right", filled).alias("__top"), F.min_by("__right", filled).alias("__bottom")
+        )
+        line = Window.partitionBy(*by).orderBy(CHUNK)
+        carry = edges.where(F.col(CHUNK).isNotNull()).select(
             *by,
-            "__v",
-            F.coalesce("__lo", "__below").alias("__lo"),
-            F.coalesce("__hi", "__above").alias("__hi"),
+            CHUNK,
+            F.last("__top", True).over(line.rowsBetween(below, -1)).alias("__below"),
+            F.first("__bottom", True).over(line.rowsBetween(1, above)).alias("__above"),
         )
-    )
+        near = (
+            neighbours(chunked, [*by, CHUNK])
+            .join(carry, [*by, CHUNK], "left")
+            .withColumns({"__lo": F.coalesce("__lo", "__below"), "__hi": F.coalesce("__hi", "__above")})
+        )
+
     gap = {s: F.abs(F.col(f"{s}.__v") - F.col("__v")) for s in ("__lo", "__hi")}
     choices = [
         F.when(F.col(s).isNotNull(), F.struct(gap[s].alias("d"), F.col(f"{s}.__p.{key}").alias("k"), F.col(f"{s}.__p").alias("p")))
@@ -178,12 +192,12 @@ def nearest_value(
     best = (
         near.withColumn("__best", F.array_min(F.array_compact(F.array(*choices))))
         .where(F.col("__best").isNotNull())
-        .select(*by, F.col("__v").alias(value), "__best")
+        .select(*by, F.col("__v").alias("__probe"), "__best")
     )
-    return left.join(best, [*by, value]).select(
-        *left.columns,
-        *[F.col(f"__best.p.{c}").alias(c) for c in payload],
-        F.col("__best.d").alias(difference),
+    return (
+        left.withColumn("__probe", F.col(value).cast("double"))
+        .join(best, [*by, "__probe"])
+        .select(*left.columns, *[F.col(f"__best.p.{c}").alias(c) for c in payload], F.col("__best.d").alias(difference))
     )
 
 

@@ -9,6 +9,8 @@ operators are the plain windows.
 
 from __future__ import annotations
 
+from itertools import takewhile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from paddock.session import ensure_checkpoint_dir
 
 TARGET_ROWS = 2_000_000
 BINS_PER_CHUNK = 64
+MAX_ROUNDS = 6
 BROADCAST_ROWS = 500_000
 SMALL_ROWS = 100_000
 CHUNK = "__chunk"
@@ -29,8 +32,9 @@ def position(df: DataFrame, column: str) -> Column:
     if isinstance(kind, T.DateType):
         return F.unix_date(col).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-        return (F.unix_date(F.to_date(col)).cast("double") * 86400) + clock
+        seconds = F.extract(F.lit("SECONDS"), col).cast("double")
+        clock = F.hour(col) * 3600 + F.minute(col) * 60 + seconds
+        return F.unix_date(F.to_date(col)).cast("double") * 86400 + clock
     return col.cast("double")
 
 
@@ -39,41 +43,79 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def chunk_keys(df: DataFrame, keys: list[str], order: str, target_rows: int) -> DataFrame | None:
+def _orderable(df: DataFrame, order: list[str]) -> list[str]:
+    """Leading ordering columns that have a position."""
+    kinds = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return list(takewhile(lambda c: isinstance(df.schema[c].dataType, kinds), order))
+
+
+def chunk_keys(df: DataFrame, keys: list[str], order: list[str], target_rows: int) -> DataFrame | None:
     """Adds a chunk number to the rows of keys above the target, null for other keys; None
     when no key is above it.
 
-    The range of a hot key is cut into bins, the rows per bin are counted (map-side
-    combined), and neighbouring bins are put together up to the target. Keys above the
-    target are at most rows/target, their bins at most ``BINS_PER_CHUNK`` times that."""
+    The range of a hot key is cut into bins and the rows per bin are counted (map-side
+    combined). A bin that is still above the target, because values crowd there, is cut
+    again over its own range, or along the next ordering column when its values are all
+    equal. Neighbouring bins are then put together up to the target. Keys above the target
+    are at most rows/target, and bins ``BINS_PER_CHUNK`` times that per round. Dates,
+    timestamps and numbers can be cut; a text in the ordering ends the columns to cut by."""
+    columns = _orderable(df, order)
+    if not columns:
+        return None
     ensure_checkpoint_dir(df.sparkSession)
-    placed = df.withColumn("__x", position(df, order))
-    hot = (
-        placed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"), F.min("__x").alias("__min"), F.max("__x").alias("__max"))
-        .where(F.col("__rows") > target_rows)
-        .withColumn("__bins", F.ceil(F.col("__rows") / target_rows) * BINS_PER_CHUNK)
-        .drop("__rows")
-        .checkpoint()
-    )
-    if hot.isEmpty():
+    places = {f"__x{i}": position(df, c) for i, c in enumerate(columns)}
+    binned, bins = df.withColumns(places), []
+    spans = [F.count(F.lit(1)).alias("__rows")]
+    for x, c in zip(places, columns):
+        some_null = F.count(c).between(1, F.count(F.lit(1)) - 1)
+        spans += [
+            F.min(x).alias(f"{x}_min"),
+            F.max(x).alias(f"{x}_max"),
+            some_null.alias(f"{x}_null"),
+            ((F.min(c) != F.max(c)) | some_null).alias(f"{x}_differs"),
+        ]
+
+    counted = binned.groupBy(*keys).agg(*spans)
+    for depth in range(MAX_ROUNDS):
+        along, low, high = (F.lit(None) for _ in range(3))
+        for i, x in reversed(list(enumerate(places))):
+            can = (F.col(f"{x}_max") > F.col(f"{x}_min")) | F.col(f"{x}_null")
+            differs = F.coalesce(F.col(f"{x}_differs"), F.lit(False))
+            along = F.when(differs, F.when(can, F.lit(i))).otherwise(along)
+            low = F.when(differs, F.col(f"{x}_min")).otherwise(low)
+            high = F.when(differs, F.col(f"{x}_max")).otherwise(high)
+        hot = (
+            counted.where(F.col("__rows") > target_rows)
+            .select(
+                *keys, *bins, along.alias("__along"), low.alias("__low"), high.alias("__high"),
+                (F.ceil(F.col("__rows") / target_rows) * BINS_PER_CHUNK).alias("__bins"),
+            )
+            .where(F.col("__along").isNotNull() | F.lit(depth == 0))
+            .checkpoint()
+        )
+        if hot.isEmpty():
+            break
+        x = F.coalesce(*[F.when(F.col("__along") == i, F.col(c)) for i, c in enumerate(places)])
+        span = F.col("__high") - F.col("__low")
+        share = F.when(span > 0, (x - F.col("__low")) / span).when(x.isNotNull(), F.lit(0.0))
+        cut = F.when(share.isNotNull(), F.least(F.floor(share * F.col("__bins")), F.col("__bins") - 1))
+        name = f"__bin{depth}"
+        binned = (
+            binned.join(_small(hot), [*keys, *bins], "left")
+            .withColumn(name, F.when(F.col("__bins").isNotNull(), F.coalesce(cut, F.lit(-1))).otherwise(F.lit(0 if bins else None)))
+            .drop("__along", "__low", "__high", "__bins")
+        )
+        bins.append(name)
+        counted = binned.where(F.col(bins[0]).isNotNull()).groupBy(*keys, *bins).agg(*spans)
+    if not bins:
         return None
-    share = (F.col("__x") - F.col("__min")) / (F.col("__max") - F.col("__min") + 1)
-    binned = (
-        placed.join(_small(hot), keys, "left")
-        .withColumn("__bin", F.when(F.col("__bins").isNotNull(), F.coalesce(F.floor(share * F.col("__bins")), F.lit(-1))))
-        .drop("__x", "__min", "__max", "__bins")
-    )
-    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
     chunks = (
-        binned.where(F.col("__bin").isNotNull())
-        .groupBy(*keys, "__bin")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
-        .select(*keys, "__bin", F.floor(F.col("__before") / target_rows).alias(CHUNK))
+        counted.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+        .select(*keys, *bins, F.floor(F.col("__before") / target_rows).alias(CHUNK))
         .checkpoint()
     )
-    return binned.join(_small(chunks), [*keys, "__bin"], "left").drop("__bin")
+    return binned.join(_small(chunks), [*keys, *bins], "left").drop(*places, *bins)
 
 
 def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,7 +143,7 @@ def trailing_mean(
 
     The frame counts rows, not days. ``order`` must be a total order inside a key."""
     clean = _with_keys(df, keys)
-    chunked = chunk_keys(clean, keys, order[0], target_rows)
+    chunked = chunk_keys(clean, keys, order, target_rows)
     if chunked is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, -1)
         return clean.withColumn(name, _frame_mean(value, scale, frame))
@@ -160,7 +202,7 @@ def running_total(
 ) -> DataFrame:
     """Sum of the value from the first row of the key up to the current one."""
     clean, units = _with_keys(df, keys), to_units(F.col(value), scale)
-    chunked = chunk_keys(clean, keys, order[0], target_rows)
+    chunked = chunk_keys(clean, keys, order, target_rows)
     if chunked is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return clean.withColumn(name, from_units(F.sum(units).over(frame), scale))

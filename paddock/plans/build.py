@@ -315,7 +315,7 @@ def put_premiums(hedging: DataFrame, lookup: DataFrame, *, name: str = "CME LEAN
     )
 
 
-def lrp_premiums(hedging: DataFrame, quotes: DataFrame, *, name: str = "CME LEAN HOGS", width: float = 5.0) -> DataFrame:
+def lrp_premiums(hedging: DataFrame, quotes: DataFrame, *, name: str = "CME LEAN HOGS") -> DataFrame:
     """LRP positions with the quote of their month whose coverage price is nearest."""
     offered = quotes.where(F.col("commodity") == name).select(
         F.col("grouping_date").cast("int").alias("grouping_date"),
@@ -330,7 +330,7 @@ def lrp_premiums(hedging: DataFrame, quotes: DataFrame, *, name: str = "CME LEAN
     payload = ["lrp_market_premium_per_head", "lrp_producer_premium", "lrp_subsidy_pct", "cme_equivalent_premium"]
     matched = nearest_value(
         held, offered, "strike_or_futures_price_cwt", "coverage_price", payload,
-        by=["grouping_date"], key="quote_id", width=width,
+        by=["grouping_date"], key="quote_id",
     )
     return matched.select(GROUP, *payload)
 

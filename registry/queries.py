@@ -217,7 +217,7 @@ def q_nearest_value(t: Tables) -> DataFrame:
     return joins.nearest_value(
         t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal"),
         t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal"),
-        "c_acctbal", "s_acctbal", ["s_suppkey"], by=["nation"], key="s_suppkey", width=50.0,
+        "c_acctbal", "s_acctbal", ["s_suppkey"], by=["nation"], key="s_suppkey",
     )
 
 

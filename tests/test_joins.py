@@ -120,14 +120,15 @@ def test_range_names_are_sorted_and_distinct(spark):
     assert out.first()["farms"] == "a, b"
 
 
-@pytest.mark.parametrize("width", [0.5, 5.0, 1000.0])
-def test_nearest_value_equals_brute_force(spark, width):
+@pytest.mark.parametrize("target", [10_000, 20, 4])
+def test_nearest_value_equals_brute_force(spark, target):
     rng = random.Random(5)
-    left = [(i, rng.choice("abz"), rng.randrange(0, 400) / 4) for i in range(120)]
-    right = [(i, rng.choice("ab"), rng.randrange(0, 400) / 4) for i in range(25)]
+    spot = lambda: rng.choice([rng.randrange(0, 400) / 4, 50 + rng.randrange(0, 64) / 1024])
+    left = [(i, rng.choice("abz"), spot()) for i in range(160)]
+    right = [(i, rng.choice("ab"), spot()) for i in range(30)]
     l = spark.createDataFrame(left, "id int, g string, x double")
     r = spark.createDataFrame(right, "rid int, g string, y double")
-    out = joins.nearest_value(l, r, "x", "y", ["rid"], by=["g"], key="rid", width=width)
+    out = joins.nearest_value(l, r, "x", "y", ["rid"], by=["g"], key="rid", target_rows=target)
     got = {o["id"]: (o["rid"], o["price_diff"]) for o in out.collect()}
     want = {}
     for i, g, x in left:

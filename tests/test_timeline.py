@@ -60,12 +60,24 @@ def test_chunks_follow_the_ordering(spark, kind):
         "double": F.col("id") / 3,
     }[kind]
     df = spark.range(200).select(F.lit("a").alias("k"), column.alias("t"))
-    chunked = timeline.chunk_keys(df, ["k"], "t", 20)
+    chunked = timeline.chunk_keys(df, ["k"], ["t"], 20)
     rows = sorted(((r["t"], r[timeline.CHUNK]) for r in chunked.collect()), key=lambda r: r[0])
     chunks = [c for _, c in rows]
     assert chunks == sorted(chunks) and len(set(chunks)) >= 5
 
 
+@pytest.mark.parametrize("crowd", ["near", "equal"])
+def test_crowded_values_are_cut_again(spark, crowd):
+    """Most rows in a sliver of the range, or equal in the first ordering column."""
+    t = F.col("id") / 1e9 if crowd == "near" else F.lit(0.0)
+    df = spark.range(400).select(F.lit("a").alias("k"), F.when(F.col("id") == 399, 1e6).otherwise(t).alias("t"), "id")
+    chunked = timeline.chunk_keys(df, ["k"], ["t", "id"], 50)
+    sizes = [r["count"] for r in chunked.groupBy(timeline.CHUNK).count().collect()]
+    assert max(sizes) <= 100 and sum(sizes) == 400
+    line = [r[timeline.CHUNK] for r in chunked.orderBy("t", "id").collect()]
+    assert line == sorted(line)
+
+
 def test_rows_without_order_value_come_first(spark):
     df = spark.createDataFrame([("a", None, 100, 1.0)] + [("a", i, i, 1.0) for i in range(50)], "k string, d int, seq int, v double")
     out = timeline.running_total(df, ["k"], ["d", "seq"], "v", target_rows=10)
@@ -73,8 +85,25 @@ def test_rows_without_order_value_come_first(spark):
     assert got[100] == 1.0 and got[0] == 2.0 and got[49] == 51.0
 
 
+def test_missing_values_beside_one_value_are_told_apart(spark):
+    data = [("a", None if i % 2 else 7, i, 1.0) for i in range(100)]
+    df = spark.createDataFrame(data, "k string, d int, seq int, v double")
+    out = timeline.running_total(df, ["k"], ["d", "seq"], "v", target_rows=10)
+    got = {r["seq"]: r["running_total"] for r in out.collect()}
+    assert [got[i] for i in range(1, 100, 2)] == [float(n) for n in range(1, 51)]
+    assert [got[i] for i in range(0, 100, 2)] == [float(n) for n in range(51, 101)]
+
+
+def test_texts_in_the_ordering_are_not_cut_by(spark):
+    data = [("a", 5, f"n{99 - i:02d}", i, 1.0) for i in range(100)]
+    df = spark.createDataFrame(data, "k string, d int, name string, seq int, v double")
+    out = timeline.running_total(df, ["k"], ["d", "name", "seq"], "v", target_rows=10)
+    assert {r["seq"]: r["running_total"] for r in out.collect()} == {i: 100.0 - i for i in range(100)}
+    assert timeline.chunk_keys(df, ["k"], ["name"], 10) is None
+
+
 def test_no_hot_key_means_a_plain_window(spark):
-    assert timeline.chunk_keys(frame(spark, history()), ["k"], "d", 1000) is None
+    assert timeline.chunk_keys(frame(spark, history()), ["k"], ["d"], 1000) is None
 
 
 def test_drop_alerts(spark):
@@ -116,7 +145,7 @@ def test_best_claim(spark):
     assert {r["c"]: r["is_winner"] for r in out.collect()} == {"x": False, "y": True, "z": False, "n": False}
 
 
-def test_timestamps_of_one_second_stay_together(spark):
+def test_timestamps_within_one_second_are_kept_in_order(spark):
     base = datetime(2025, 1, 1)
     data = [("a", base + timedelta(microseconds=i % 5, seconds=i // 20), i, 1.0) for i in range(200)]
     df = spark.createDataFrame(data, "k string, ts timestamp, seq int, v double")
