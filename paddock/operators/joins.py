@@ -153,15 +153,14 @@ def nearest_value(
     probes = not_null(left, [*by, value]).select(*by, F.col(value).cast("double").alias("__v")).distinct()
     ensure_checkpoint_dir(left.sparkSession)
     axis = points.unionByName(probes, allowMissingColumns=True).checkpoint()
-    below, above = Window.unboundedPreceding, Window.unboundedFollowing
 
+    # Both sides look back, one along the falling order: a frame that ends at the current
+    # row grows row by row, one that starts there would be built anew for each row.
     def neighbours(rows: DataFrame, within: list[str]) -> DataFrame:
-        line = Window.partitionBy(*within).orderBy("__v")
-        return (
-            rows.withColumn("__lo", F.last("__right", True).over(line.rangeBetween(below, 0)))
-            .withColumn("__hi", F.first("__right", True).over(line.rangeBetween(0, above)))
-            .where(F.col("__right").isNull())
-        )
+        line = Window.partitionBy(*within)
+        frames = {"__lo": line.orderBy("__v"), "__hi": line.orderBy(F.desc("__v"))}
+        seen = {n: F.last("__right", True).over(w.rangeBetween(Window.unboundedPreceding, 0)) for n, w in frames.items()}
+        return rows.withColumns(seen).where(F.col("__right").isNull())
 
     chunked = chunk_keys(axis, by, ["__v"], target_rows)
     if chunked is None:
@@ -171,12 +170,12 @@ def nearest_value(
         edges = chunked.groupBy(*by, CHUNK).agg(
             F.max_by("__right", filled).alias("__top"), F.min_by("__right", filled).alias("__bottom")
         )
-        line = Window.partitionBy(*by).orderBy(CHUNK)
+        line, earlier = Window.partitionBy(*by), (Window.unboundedPreceding, -1)
         carry = edges.where(F.col(CHUNK).isNotNull()).select(
             *by,
             CHUNK,
-            F.last("__top", True).over(line.rowsBetween(below, -1)).alias("__below"),
-            F.first("__bottom", True).over(line.rowsBetween(1, above)).alias("__above"),
+            F.last("__top", True).over(line.orderBy(CHUNK).rowsBetween(*earlier)).alias("__below"),
+            F.last("__bottom", True).over(line.orderBy(F.desc(CHUNK)).rowsBetween(*earlier)).alias("__above"),
         )
         near = (
             neighbours(chunked, [*by, CHUNK])
