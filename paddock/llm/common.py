@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paddock.session import ensure_checkpoint_dir
@@ -139,3 +140,24 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+def sample_ids(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """(doc_id, label): at most `per_label` rows of each label, the first by a hash of the id.
+
+    Rows without id or label are left out; an id with several labels counts once, with its
+    smallest. The window's limit is applied before the shuffle, so no label is gathered whole.
+    """
+    known = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return known.withColumn("rank", rank).where(F.col("rank") <= per_label).drop("rank")
+
+
+def sample_texts(documents: DataFrame, ids: DataFrame) -> pd.DataFrame:
+    """Whole texts of sampled ids on the driver: text and label, in order of the id and the text.
+
+    `ids` is bounded by its sample; it is the broadcast side.
+    """
+    picked = F.broadcast(ids.select(F.col("doc_id").alias("picked"), "label"))
+    found = documents.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("picked")).where("text IS NOT NULL")
+    return found.select("doc_id", "text", "label").toPandas().sort_values(["doc_id", "text"], kind="stable", ignore_index=True)

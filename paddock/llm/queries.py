@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import chat, collisions, minmax
+import public_tokenizers
+
+from paddock.llm import chat, collisions, compression, decontaminate, language, minmax, packing, pii, toxicity
 from paddock.llm.common import read
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op5_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return compression.quality(documents, compression.train(documents, read(spark, sf_dir, "labels")))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -19,6 +41,16 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text")))))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return toxicity.severities(documents, toxicity.train(documents, read(spark, sf_dir, "labels")))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return language.identify(documents, language.train(documents)).drop("family")
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -27,7 +59,7 @@ def op10_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_chat, op9_near_vectors, op10_min_max)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_personal_data, op4_decontamination, op5_compression, op6_chat, op7_toxicity, op8_language, op9_near_vectors, op10_min_max)}
 
 _COMPONENTS = """
   edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
