@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paddock.llm import chat, collisions, compression, decontaminate, language, minmax, packing, pii, toxicity
+from paddock.llm import chat, collisions, compression, decontaminate, language, minmax, packing, pii, suffixes, toxicity
 from paddock.llm.common import read
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -16,6 +16,11 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -59,7 +64,7 @@ def op10_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_personal_data, op4_decontamination, op5_compression, op6_chat, op7_toxicity, op8_language, op9_near_vectors, op10_min_max)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_packing, op3_personal_data, op4_decontamination, op5_compression, op6_chat, op7_toxicity, op8_language, op9_near_vectors, op10_min_max)}
 
 _COMPONENTS = """
   edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
