@@ -1,9 +1,70 @@
-"""Stages that turn the documents into packed training sequences."""
+"""From raw documents to packed training sequences, one stage after the other.
 
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the
+last return the columns of documents; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paddock.llm import decontaminate, minmax, packing, pii, toxicity
+from paddock.llm.common import read
+from paddock.llm.queries import TOKENIZER
+
+# Trained models, tokens and fingerprints are no SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model does not reject.
+
+    The model learns from this stage's documents and their labels. A null or empty text holds no
+    toxic word and stays, as do rows without an id.
+    """
+    return toxicity.drop_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Texts without words are no duplicates of anything; rows without an id stay. Rows that repeat
+    an id are one document, of which one row stays.
+    """
+    kept = minmax.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return known.unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind; n_chars follows the text."""
+    masked = pii.mask_personal_data(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the training sequences."""
+    return packing.pack(spark, docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs
