@@ -76,6 +76,13 @@ def contract_symbol(col: Column, root: str = "HE") -> Column:
     return F.concat(F.lit(root), F.coalesce(lookup(letter, UNLISTED_TO_LISTED), letter), year)
 
 
+def contract_expiry(symbol: Column) -> Column:
+    """Symbol ``HEM25`` as 202506, the month its contract expires; null for other texts."""
+    letter, year = (F.regexp_extract(symbol, r"([FGHJKMNQUVXZ])(\d{2})$", i) for i in (1, 2))
+    numbers = {mark: MONTH_NUMBERS[month] for month, mark in MONTH_LETTERS.items()}
+    return (F.lit(2000) + year.try_cast("int")) * 100 + lookup(letter, numbers)
+
+
 def contract_is_unlisted(col: Column) -> Column:
     """True when the contract month has no lean hog contract of its own."""
     _, month = _contract_parts(col)

@@ -13,6 +13,13 @@ def round_even(col: Column, digits: int) -> Column:
     return F.rint(col * factor) / factor + F.lit(0.0)
 
 
+def round_half_up(col: Column, digits: int) -> Column:
+    """Round half away from zero after scaling, the way SQL engines round doubles; never the
+    negative zero."""
+    factor = float(10**digits)
+    return F.round(col * factor, 0) / factor + F.lit(0.0)
+
+
 def flag(condition: Column) -> Column:
     """Comparison that is false, never null, when a side is missing."""
     return F.coalesce(condition, F.lit(False))

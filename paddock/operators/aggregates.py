@@ -107,14 +107,11 @@ def exposure(df: DataFrame, key: str, amount: str) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("groups"),
         F.sum(amount).alias("exposed"),
-        F.max_by(key, F.struct(F.col(amount), -F.col(key) if _numeric(df, key) else F.col(key))).alias("most_exposed"),
+        # of equal amounts the lowest key, whatever its type
+        F.min_by(key, F.struct(F.col(amount).isNull(), -F.col(amount), F.col(key))).alias("most_exposed"),
     )
 
 
-def _numeric(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() not in ("string", "date", "timestamp", "boolean")
-
-
 def scenario_totals(df: DataFrame, before: str, after: str, per_unit: str, by: Sequence[str] = ()) -> DataFrame:
     """Sums before and after a scenario, the change, and how many positions gain or lose."""
     totals = df.groupBy(*by).agg(

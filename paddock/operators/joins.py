@@ -11,10 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paddock.functions.numeric import flag, from_units, mean, to_units
-from paddock.operators.timeline import CHUNK, TARGET_ROWS, chunk_keys
-from paddock.session import ensure_checkpoint_dir
+from paddock.operators.timeline import CHUNK, ranges
 
 
 def not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -89,6 +89,9 @@ def asof_nearest(
     two of them, a right row lies in exactly one, so the equi-join on (by, bucket) meets
     at most two windows of dates. Only distinct left dates take part."""
     by = list(by)
+    for side, column in ((left, on), (right, right_on)):
+        if not isinstance(side.schema[column].dataType, T.DateType):
+            raise TypeError(f"{column} must be a date: days are bounded, instants are not")
     width = 2 * tolerance_days + 1
     single = len(payload) == 1 and not right_order
     if single:
@@ -134,16 +137,16 @@ def nearest_value(
     by: list[str],
     key: str,
     difference: str = "price_diff",
-    target_rows: int = TARGET_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Inner join to the right row of the same group whose value is nearest.
 
     On equal distance the lower ``key`` wins. Groups without right rows are left out.
 
     Distinct values of both sides are put on one axis per group, and a window finds the
-    right value below and above each left value. The axis of a large group is cut into
-    chunks; what lies in other chunks is carried over as the nearest one on each side. No
-    pairs of a group are formed."""
+    right value below and above each left value. The axis is cut into ranges; what lies in
+    other ranges is carried over as the nearest one on each side. No pairs of a group are
+    formed."""
     points = (
         not_null(right, [*by, right_value])
         .groupBy(*by, F.col(right_value).cast("double").alias("__v"))
@@ -151,8 +154,7 @@ def nearest_value(
         .select(*by, "__v", F.struct("__v", "__p").alias("__right"))
     )
     probes = not_null(left, [*by, value]).select(*by, F.col(value).cast("double").alias("__v")).distinct()
-    ensure_checkpoint_dir(left.sparkSession)
-    axis = points.unionByName(probes, allowMissingColumns=True).checkpoint()
+    axis = points.unionByName(probes, allowMissingColumns=True)
 
     # Both sides look back, one along the falling order: a frame that ends at the current
     # row grows row by row, one that starts there would be built anew for each row.
@@ -162,26 +164,23 @@ def nearest_value(
         seen = {n: F.last("__right", True).over(w.rangeBetween(Window.unboundedPreceding, 0)) for n, w in frames.items()}
         return rows.withColumns(seen).where(F.col("__right").isNull())
 
-    chunked = chunk_keys(axis, by, ["__v"], target_rows)
-    if chunked is None:
-        near = neighbours(axis, by)
-    else:
-        filled = F.when(F.col("__right").isNotNull(), F.col("__v"))
-        edges = chunked.groupBy(*by, CHUNK).agg(
-            F.max_by("__right", filled).alias("__top"), F.min_by("__right", filled).alias("__bottom")
-        )
-        line, earlier = Window.partitionBy(*by), (Window.unboundedPreceding, -1)
-        carry = edges.where(F.col(CHUNK).isNotNull()).select(
-            *by,
-            CHUNK,
-            F.last("__top", True).over(line.orderBy(CHUNK).rowsBetween(*earlier)).alias("__below"),
-            F.last("__bottom", True).over(line.orderBy(F.desc(CHUNK)).rowsBetween(*earlier)).alias("__above"),
-        )
-        near = (
-            neighbours(chunked, [*by, CHUNK])
-            .join(carry, [*by, CHUNK], "left")
-            .withColumns({"__lo": F.coalesce("__lo", "__below"), "__hi": F.coalesce("__hi", "__above")})
-        )
+    chunked = ranges(axis, by, ["__v"], partitions)
+    filled = F.when(F.col("__right").isNotNull(), F.col("__v"))
+    edges = chunked.groupBy(*by, CHUNK).agg(
+        F.max_by("__right", filled).alias("__top"), F.min_by("__right", filled).alias("__bottom")
+    )
+    line, earlier = Window.partitionBy(*by), (Window.unboundedPreceding, -1)
+    carry = edges.select(
+        *by,
+        CHUNK,
+        F.last("__top", True).over(line.orderBy(CHUNK).rowsBetween(*earlier)).alias("__below"),
+        F.last("__bottom", True).over(line.orderBy(F.desc(CHUNK)).rowsBetween(*earlier)).alias("__above"),
+    )
+    near = (
+        neighbours(chunked, [*by, CHUNK])
+        .join(carry, [*by, CHUNK], "left")
+        .withColumns({"__lo": F.coalesce("__lo", "__below"), "__hi": F.coalesce("__hi", "__above")})
+    )
 
     gap = {s: F.abs(F.col(f"{s}.__v") - F.col("__v")) for s in ("__lo", "__hi")}
     choices = [
@@ -354,7 +353,9 @@ def key_overlap(parent: DataFrame, children: dict[str, DataFrame], key: str) ->
     """Per child table: number of keys the parent does not have, and of keys it shares.
 
     Each table sets one bit per key. One aggregate by key, combined map-side, tells which
-    tables have it; nothing is joined."""
+    tables have it; nothing is joined. A long has bits for 62 child tables."""
+    if len(children) > 62:
+        raise ValueError("at most 62 child tables in one call")
 
     def tagged(table: DataFrame, bit: int) -> DataFrame:
         return table.where(F.col(key).isNotNull()).select(key, F.lit(1 << bit).cast("bigint").alias("__bit"))

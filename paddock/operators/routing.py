@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from paddock.functions.text import contains_any, to_number
 
-GROUP_PATTERN = r"pg-10[01]\d"
+# whole ids: a longer or another id is never cut to one that is known
+GROUP_PATTERN = r"\bpg-\d+\b"
 
 # Words that settle the intent of a question naming a group, first hit wins.
 GROUP_INTENTS = [
@@ -61,16 +62,18 @@ def _corn_cents(number: Column) -> Column:
     return F.when(number.between(3, 8), number * 100).when(number.between(300, 800), number)
 
 
-def group_id(text: Column) -> Column:
+def group_id(text: Column, pattern: str = GROUP_PATTERN) -> Column:
     """Lowest group id the text names, in capitals, or null."""
-    found = F.regexp_extract_all(text, F.lit(f"({GROUP_PATTERN})"), 1)
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     return F.upper(F.array_min(found))
 
 
-def route(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the intent of each question and its parameters (null where it has none)."""
+def route(df: DataFrame, text: str = "text", group_pattern: str = GROUP_PATTERN) -> DataFrame:
+    """Adds the intent of each question and its parameters (null where it has none).
+
+    ``group_pattern`` matches the ids of groups in lower case."""
     q = F.lower(F.trim(F.col(text)))
-    group = group_id(q)
+    group = group_id(q, group_pattern)
     has_group = group.isNotNull()
     what_if = contains_any(q, SCENARIO_WORDS)
     falls, rises = contains_any(q, FALL_WORDS), contains_any(q, RISE_WORDS)

@@ -1,121 +1,30 @@
 """Ordered operators over long per-key timelines.
 
-A plain window puts all rows of a key into one task. Here a key with more rows than
-``target_rows`` is cut into consecutive chunks first, and what a chunk needs from the
-chunks before it (the last rows of a frame, a running sum) is carried over as a small
-table. Finding such keys takes one count over the key columns; when there are none, the
-operators are the plain windows.
+A plain window puts all rows of a key into one task. Here the rows are range-partitioned by key
+and order first, whatever the types of the ordering, and written to the checkpoint folder once.
+A long key then lies in several ranges, and what a range needs from the ranges before it (the
+last rows of a frame, a running sum) is carried over as a small table.
 """
 
 from __future__ import annotations
 
-from itertools import takewhile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paddock.functions.numeric import flag, from_units, to_units
 from paddock.session import ensure_checkpoint_dir
 
-TARGET_ROWS = 2_000_000
-BINS_PER_CHUNK = 64
-MAX_ROUNDS = 6
-BROADCAST_ROWS = 500_000
-SMALL_ROWS = 100_000
 CHUNK = "__chunk"
 
 
-def position(df: DataFrame, column: str) -> Column:
-    """Number that grows with a date, timestamp or number column."""
-    kind, col = df.schema[column].dataType, F.col(column)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        seconds = F.extract(F.lit("SECONDS"), col).cast("double")
-        clock = F.hour(col) * 3600 + F.minute(col) * 60 + seconds
-        return F.unix_date(F.to_date(col)).cast("double") * 86400 + clock
-    return col.cast("double")
-
-
-def _small(table: DataFrame) -> DataFrame:
-    """Broadcast mark for a checkpointed table whose row count is under the limit."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
-def _orderable(df: DataFrame, order: list[str]) -> list[str]:
-    """Leading ordering columns that have a position."""
-    kinds = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return list(takewhile(lambda c: isinstance(df.schema[c].dataType, kinds), order))
-
-
-def chunk_keys(df: DataFrame, keys: list[str], order: list[str], target_rows: int) -> DataFrame | None:
-    """Adds a chunk number to the rows of keys above the target, null for other keys; None
-    when no key is above it.
-
-    The range of a hot key is cut into bins and the rows per bin are counted (map-side
-    combined). A bin that is still above the target, because values crowd there, is cut
-    again over its own range, or along the next ordering column when its values are all
-    equal. Neighbouring bins are then put together up to the target. Keys above the target
-    are at most rows/target, and bins ``BINS_PER_CHUNK`` times that per round. Dates,
-    timestamps and numbers can be cut; a text in the ordering ends the columns to cut by."""
-    columns = _orderable(df, order)
-    if not columns:
-        return None
-    ensure_checkpoint_dir(df.sparkSession)
-    places = {f"__x{i}": position(df, c) for i, c in enumerate(columns)}
-    binned, bins = df.withColumns(places), []
-    spans = [F.count(F.lit(1)).alias("__rows")]
-    for x, c in zip(places, columns):
-        some_null = F.count(c).between(1, F.count(F.lit(1)) - 1)
-        spans += [
-            F.min(x).alias(f"{x}_min"),
-            F.max(x).alias(f"{x}_max"),
-            some_null.alias(f"{x}_null"),
-            ((F.min(c) != F.max(c)) | some_null).alias(f"{x}_differs"),
-        ]
-
-    counted = binned.groupBy(*keys).agg(*spans)
-    for depth in range(MAX_ROUNDS):
-        along, low, high = (F.lit(None) for _ in range(3))
-        for i, x in reversed(list(enumerate(places))):
-            can = (F.col(f"{x}_max") > F.col(f"{x}_min")) | F.col(f"{x}_null")
-            differs = F.coalesce(F.col(f"{x}_differs"), F.lit(False))
-            along = F.when(differs, F.when(can, F.lit(i))).otherwise(along)
-            low = F.when(differs, F.col(f"{x}_min")).otherwise(low)
-            high = F.when(differs, F.col(f"{x}_max")).otherwise(high)
-        hot = (
-            counted.where(F.col("__rows") > target_rows)
-            .select(
-                *keys, *bins, along.alias("__along"), low.alias("__low"), high.alias("__high"),
-                (F.ceil(F.col("__rows") / target_rows) * BINS_PER_CHUNK).alias("__bins"),
-            )
-            .where(F.col("__along").isNotNull() | F.lit(depth == 0))
-            .checkpoint()
-        )
-        if hot.isEmpty():
-            break
-        x = F.coalesce(*[F.when(F.col("__along") == i, F.col(c)) for i, c in enumerate(places)])
-        span = F.col("__high") - F.col("__low")
-        share = F.when(span > 0, (x - F.col("__low")) / span).when(x.isNotNull(), F.lit(0.0))
-        cut = F.when(share.isNotNull(), F.least(F.floor(share * F.col("__bins")), F.col("__bins") - 1))
-        name = f"__bin{depth}"
-        binned = (
-            binned.join(_small(hot), [*keys, *bins], "left")
-            .withColumn(name, F.when(F.col("__bins").isNotNull(), F.coalesce(cut, F.lit(-1))).otherwise(F.lit(0 if bins else None)))
-            .drop("__along", "__low", "__high", "__bins")
-        )
-        bins.append(name)
-        counted = binned.where(F.col(bins[0]).isNotNull()).groupBy(*keys, *bins).agg(*spans)
-    if not bins:
-        return None
-    before = Window.partitionBy(*keys).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = (
-        counted.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
-        .select(*keys, *bins, F.floor(F.col("__before") / target_rows).alias(CHUNK))
-        .checkpoint()
-    )
-    return binned.join(_small(chunks), [*keys, *bins], "left").drop(*places, *bins)
+def ranges(df: DataFrame, keys: list[str], order: list, partitions: int | None = None) -> DataFrame:
+    """The rows with the number of their range by (keys, order), grown in that order. Rows equal
+    in both lie in one range; the sample that cuts the ranges follows the rows, so a key with a
+    third of them gets a third of the ranges."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id()).checkpoint()
 
 
 def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,22 +45,16 @@ def trailing_mean(
     rows: int = 14,
     name: str = "trailing_avg",
     scale: int | None = None,
-    target_rows: int = TARGET_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Mean of the ``rows`` rows before the current one in its key; the current row is
     not part of the frame, and the first row of a key gets null.
 
     The frame counts rows, not days. ``order`` must be a total order inside a key."""
-    clean = _with_keys(df, keys)
-    chunked = chunk_keys(clean, keys, order, target_rows)
-    if chunked is None:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, -1)
-        return clean.withColumn(name, _frame_mean(value, scale, frame))
-
+    chunked = ranges(_with_keys(df, keys), keys, order, partitions)
     last_first = Window.partitionBy(*keys, CHUNK).orderBy(*[F.desc(c) for c in order])
     tails = (
-        chunked.where(F.col(CHUNK).isNotNull())
-        .select(*keys, CHUNK, *order, value)
+        chunked.select(*keys, CHUNK, *order, value)
         .withColumn("__rn", F.row_number().over(last_first))
         .where(F.col("__rn") <= rows)
         .groupBy(*keys, CHUNK)
@@ -196,32 +99,24 @@ def running_total(
     order: list[str],
     value: str,
     *,
+    scale: int,
     name: str = "running_total",
-    scale: int | None = None,
-    target_rows: int = TARGET_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Sum of the value from the first row of the key up to the current one."""
-    clean, units = _with_keys(df, keys), to_units(F.col(value), scale)
-    chunked = chunk_keys(clean, keys, order, target_rows)
-    if chunked is None:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return clean.withColumn(name, from_units(F.sum(units).over(frame), scale))
+    """Sum of the value from the first row of the key up to the current one.
 
+    Values are summed as whole units of their last decimal (``scale``), so the result does not
+    depend on where ranges begin."""
+    units = to_units(F.col(value), scale)
+    chunked = ranges(_with_keys(df, keys), keys, order, partitions)
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        chunked.where(F.col(CHUNK).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(F.sum(units).alias("__sum"))
-        .select(*keys, CHUNK, F.sum("__sum").over(earlier).alias("__offset"))
-        .checkpoint()
-    )
+    sums = chunked.groupBy(*keys, CHUNK).agg(F.sum(units).alias("__sum"))
+    offsets = sums.select(*keys, CHUNK, F.sum("__sum").over(earlier).alias("__offset"))
     frame = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = F.coalesce(F.col("__offset"), F.lit(0)) + F.sum(units).over(frame)
-    return (
-        chunked.join(_small(offsets), [*keys, CHUNK], "left")
-        .withColumn(name, from_units(running, scale))
-        .select(*df.columns, name)
-    )
+    inside = F.sum(units).over(frame)
+    before = F.col("__offset")
+    running = F.when(inside.isNotNull() | before.isNotNull(), F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0)))
+    return chunked.join(offsets, [*keys, CHUNK], "left").withColumn(name, from_units(running, scale)).select(*df.columns, name)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rn") -> DataFrame:
@@ -237,38 +132,31 @@ def latest_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return newest.orderBy(*order)
 
 
-def global_rank(
-    df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None, small: int = SMALL_ROWS
-) -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Position of every row in an ordering of the whole table, from 1.
 
-    The table is checkpointed and counted. Up to ``small`` rows are numbered in one task.
-    A longer table is range-partitioned by the ordering and checkpointed with the partition
-    numbers; each partition is then numbered on top of the rows in the partitions before
-    it, which is a table of one row per partition. The ordering must be total."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = df.checkpoint()
-    if base.count() <= small:
-        return base.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = base.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    The table is range-partitioned by the ordering and checkpointed with the partition numbers;
+    each partition is then numbered on top of the rows in the partitions before it, which is a
+    table of one row per partition. The ordering must be total."""
+    ranged = ranges(df, [], order, partitions)
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("__part")
+        ranged.groupBy(CHUNK)
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+        .select(CHUNK, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     )
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order))
     return (
         ranged.withColumn("__inside", inside)
-        .join(F.broadcast(offsets), "__part")
+        .join(F.broadcast(offsets), CHUNK)
         .withColumn(name, F.col("__before") + F.col("__inside"))
-        .drop("__part", "__inside", "__before")
+        .drop(CHUNK, "__inside", "__before")
     )
 
 
 def best_claim(df: DataFrame, target: str, order: list[Column], keep: str = "is_winner") -> DataFrame:
-    """Marks the best claimant of every target; the rest are demoted."""
+    """Marks the best claimant of every target; the rest are demoted. Rows without a target claim
+    nothing and do not meet in a window."""
     rank = F.row_number().over(Window.partitionBy(target).orderBy(*order))
-    return df.withColumn(keep, F.col(target).isNotNull() & flag(rank == 1))
+    claims = df.where(F.col(target).isNotNull()).withColumn(keep, flag(rank == 1))
+    return claims.unionByName(df.where(F.col(target).isNull()).withColumn(keep, F.lit(False)))

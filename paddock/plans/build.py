@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions import market as M
 from paddock.functions.dates import (
+    contract_expiry,
     contract_is_unlisted,
     contract_month,
     contract_symbol,
@@ -207,23 +208,28 @@ def packer_basis(
     western: DataFrame | None = None,
     *,
     tolerance_days: int = 5,
+    right_order: Sequence[str] = (),
 ) -> DataFrame:
     """Settlements with the sum of their price parts and their basis to the cash prices
-    and the index reported nearest to the kill date."""
+    and the index reported nearest to the kill date; ``right_order`` says which of several
+    reports of one day counts."""
     parts = ["base_price_cwt", "matrix_premium_cwt", "sort_loss_cwt", "vob_cwt"]
     out = packer.withColumn("eval_check", F.col(parts[0]) + F.col(parts[1]) + F.col(parts[2]) + F.col(parts[3]))
     series = [("national_cash_cwt", "basis_vs_national", _cash(national, "national_cash_cwt"))]
     if western is not None:
         series.append(("western_cb_cash_cwt", "basis_vs_western_cb", _cash(western, "western_cb_cash_cwt")))
     series.append(("cme_index_value", "basis_vs_cme_index", index))
-    for value, basis, table in series:
-        out = asof_nearest(out, table, "kill_date", "report_date", [value], tolerance_days=tolerance_days)
-        out = out.withColumn(basis, F.col("base_price_cwt") - F.col(value))
-    return out
+    # all series are matched on the distinct kill dates; the settlements are joined once
+    dates = packer.where(F.col("kill_date").isNotNull()).select("kill_date").distinct()
+    for value, _, table in series:
+        order = [c for c in right_order if c in table.columns]
+        dates = asof_nearest(dates, table, "kill_date", "report_date", [value], tolerance_days=tolerance_days, right_order=order)
+    out = out.join(F.broadcast(dates), "kill_date", "left").select(*out.columns, *[v for v, _, _ in series])
+    return out.withColumns({basis: F.col("base_price_cwt") - F.col(value) for value, basis, _ in series})
 
 
 def _cash(table: DataFrame, name: str) -> DataFrame:
-    return table.select("report_date", F.col("wtd_avg").alias(name))
+    return table.withColumn(name, F.col("wtd_avg"))
 
 
 def positions_with_symbol(hedging: DataFrame, root: str = "HE") -> DataFrame:
@@ -316,11 +322,14 @@ def put_premiums(hedging: DataFrame, lookup: DataFrame, *, name: str = "CME LEAN
 
 
 def lrp_premiums(hedging: DataFrame, quotes: DataFrame, *, name: str = "CME LEAN HOGS") -> DataFrame:
-    """LRP positions with the quote of their month whose coverage price is nearest."""
+    """LRP positions with the quote of their month whose coverage price is nearest; of equally near
+    quotes the lower ``quote_id``, or without ids the first by price, premiums and subsidy."""
+    own = ["coverage_price", "per_head_premium", "producer_premium_amount", "subsidy_percent", "cme_premium"]
+    quote = F.col("quote_id") if "quote_id" in quotes.columns else F.struct(*own)
     offered = quotes.where(F.col("commodity") == name).select(
         F.col("grouping_date").cast("int").alias("grouping_date"),
         "coverage_price",
-        F.monotonically_increasing_id().alias("quote_id") if "quote_id" not in quotes.columns else F.col("quote_id"),
+        quote.alias("quote_id"),
         F.col("per_head_premium").alias("lrp_market_premium_per_head"),
         F.col("producer_premium_amount").alias("lrp_producer_premium"),
         F.col("subsidy_percent").alias("lrp_subsidy_pct"),
@@ -384,14 +393,17 @@ def packer_ranking(packer: DataFrame, *, digits: int | None = 2, scale: int | No
     return ranked_advantage(combos, "avg_eval_cwt", ["packer", "contract_type"], digits=digits)
 
 
-def daily_close(endpoint: DataFrame, commodity: str, name: str, order: Sequence[str | Column] = ("symbol", "close")) -> DataFrame:
-    """One close per day of a commodity: the first by ``order`` among its contracts."""
+def daily_close(endpoint: DataFrame, commodity: str, name: str, order: Sequence[str | Column] | None = None) -> DataFrame:
+    """One close per day of a commodity: that of its front contract, the one that expires first,
+    and of equal ones the lowest. ``order`` replaces this order."""
     rows = endpoint.where(F.col("commodity") == commodity)
-    first = first_by_key(rows, ["trading_day"], list(order), {name: F.col("close")})
+    expiry = contract_expiry(F.col("symbol"))
+    front = list(order) if order else [expiry.isNull(), expiry, F.col("close")]
+    first = first_by_key(rows, ["trading_day"], front, {name: F.col("close")})
     return first.withColumnRenamed("trading_day", "date")
 
 
-def feed_cost(endpoint: DataFrame, *, tolerance_days: int = 3, order: Sequence[str | Column] = ("symbol", "close")) -> DataFrame:
+def feed_cost(endpoint: DataFrame, *, tolerance_days: int = 3, order: Sequence[str | Column] | None = None) -> DataFrame:
     """Daily feed cost from corn and the soybean meal close nearest in time."""
     corn = daily_close(endpoint, "ZC", "corn_cents_bu", order)
     meal = daily_close(endpoint, "ZM", "sbm_usd_ton", order).withColumnRenamed("date", "meal_date")
@@ -409,7 +421,7 @@ def hog_dashboard(
     index: DataFrame,
     *,
     tolerance_days: int = 3,
-    order: Sequence[str | Column] = ("symbol", "close"),
+    order: Sequence[str | Column] | None = None,
 ) -> DataFrame:
     """Daily hog market: front close, national cash price, index and basis."""
     front = daily_close(endpoint, "HE", "he_front_close", order)
@@ -443,13 +455,16 @@ def cost_benchmarks(accounting: DataFrame, *, scale: int | None = None) -> tuple
 def margins(lifecycle_: DataFrame, pnl: DataFrame, feed: DataFrame, *, digits: int | None = 2) -> DataFrame:
     """Groups with mark, estimated margin per head and status. The cost is the feed cost
     of the latest day plus the fixed other cost."""
-    latest = feed.orderBy(F.desc("date")).limit(1).select("feed_cost_per_head")
+    last = feed.orderBy(F.desc("date")).limit(1)
+    without = F.lit(M.FEED_COST_PER_HEAD_WITHOUT_DATA)
+    # the fixed cost stands for a table without rows; a day without a meal price has no known cost
+    latest = last.agg(F.when(F.count(F.lit(1)) == 0, without).otherwise(F.max("feed_cost_per_head")).alias("cost"))
     marked = lifecycle_.join(
         pnl.select(GROUP, "current_market_cwt", "pnl_per_cwt", "pnl_per_head", "total_pnl", F.col("symbol").alias("hedge_symbol")),
         GROUP,
         "left",
     ).withColumn(
-        "__cost", F.coalesce(latest.scalar(), F.lit(M.FEED_COST_PER_HEAD_WITHOUT_DATA)) + M.NON_FEED_COST_PER_HEAD
+        "__cost", latest.scalar() + M.NON_FEED_COST_PER_HEAD
     )
     margin = M.blended_margin(
         F.col("instrument_type"),

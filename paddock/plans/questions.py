@@ -93,20 +93,35 @@ def disease_context(tables: Tables, group_id=None, season: str = "2024-25") -> D
     return views.disease_risk(group, tables["disease"], season=season)
 
 
+def low_coverage_list(groups: DataFrame, below: float = views.LOW_COVERAGE) -> DataFrame:
+    """One row: the sorted groups with low coverage as one text, and their number."""
+    low = groups.where(F.col("coverage_pct") < below).groupBy(GROUP).agg(F.count(F.lit(1)).alias("rows"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.col(GROUP).cast("string"))), ", ")
+    return low.agg(listed.alias("groups"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
+
+
 def weekly_summary(tables: Tables, below: float = views.LOW_COVERAGE) -> DataFrame:
     """Findings of the week, one row each: the strongest and weakest group by gain per
-    head, every group with low coverage, the best packer, the latest feed cost and, with
-    barn readings at hand, the number of latest water alerts."""
-    groups = tables["hedge_pnl"].where(F.col("pnl_per_head").isNotNull())
-    edges = [
-        ("strongest", groups.orderBy(F.desc("pnl_per_head"), GROUP).limit(1), "pnl_per_head"),
-        ("weakest", groups.orderBy("pnl_per_head", GROUP).limit(1), "pnl_per_head"),
-        ("low_coverage", tables["hedge_pnl"].where(F.col("coverage_pct") < below), "coverage_pct"),
-    ]
+    head, every group with low coverage, the list of these groups as one text with their number,
+    the best packer, the latest feed cost and, with barn readings at hand, the number of water
+    alerts."""
+    gain, groups = F.col("pnl_per_head"), tables["hedge_pnl"]
+    low = F.col("coverage_pct") < below
+    known = gain.isNotNull()
+    name = F.col(GROUP).cast("string")
+    # one pass: the best, the worst and the list; the list holds groups with low coverage only
+    edges = groups.agg(
+        F.min_by(F.struct(name.alias("s"), gain.alias("v")), F.when(known, F.struct(-gain, GROUP))).alias("strongest"),
+        F.min_by(F.struct(name.alias("s"), gain.alias("v")), F.when(known, F.struct(gain, GROUP))).alias("weakest"),
+    )
     rows = [
-        t.select(F.lit(kind).alias("finding"), F.col(GROUP).cast("string").alias("subject"), F.col(v).cast("double").alias("value"))
-        for kind, t, v in edges
+        edges.where(F.col(kind).isNotNull()).select(F.lit(kind).alias("finding"), F.col(f"{kind}.s").alias("subject"), F.col(f"{kind}.v").cast("double").alias("value"))
+        for kind in ("strongest", "weakest")
     ]
+    rows.append(groups.where(low).select(F.lit("low_coverage").alias("finding"), name.alias("subject"), F.col("coverage_pct").cast("double").alias("value")))
+    rows.append(
+        low_coverage_list(groups, below).select(F.lit("low_coverage_groups").alias("finding"), F.col("groups").alias("subject"), F.col("n").cast("double").alias("value"))
+    )
     packer = tables["packer_ranking"].orderBy("rank").limit(1)
     rows.append(
         packer.select(
@@ -120,7 +135,7 @@ def weekly_summary(tables: Tables, below: float = views.LOW_COVERAGE) -> DataFra
         feed.select(F.lit("feed_cost").alias("finding"), F.col("date").cast("string").alias("subject"), F.col("feed_cost_per_head").alias("value"))
     )
     if "barn_env" in tables:
-        alerts = barn_alerts(tables).agg(F.count(F.lit(1)).cast("double").alias("value"))
+        alerts = views.water_alerts(tables["barn_env"]).agg(F.count(F.lit(1)).cast("double").alias("value"))
         rows.append(alerts.select(F.lit("barn_alerts").alias("finding"), F.lit("water").alias("subject"), "value"))
     out = rows[0]
     for r in rows[1:]:
@@ -138,10 +153,9 @@ def action_recommendation(tables: Tables, below: float = views.LOW_COVERAGE) ->
         .limit(1)
         .select(GROUP, "coverage_pct", "current_market_cwt")
     )
-    best = tables["packer_ranking"].orderBy("rank").limit(1)
-    return lowest.withColumns(
-        {c: best.select(c).scalar() for c in ("packer", "contract_type", "advantage_per_head")}
-    )
+    columns = ("packer", "contract_type", "advantage_per_head")
+    best = tables["packer_ranking"].orderBy("rank").limit(1).select(F.struct(*columns).alias("best"))
+    return lowest.withColumn("__best", best.scalar()).select(*lowest.columns, *[F.col(f"__best.{c}").alias(c) for c in columns])
 
 
 def scenario_price(tables: Tables, *deltas: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.market import per_head_to_cwt
-from paddock.functions.numeric import round_even
+from paddock.functions.numeric import round_even, round_half_up
 from paddock.functions.text import signed_money, whole_percent
 from paddock.operators.aggregates import key_figures
 from paddock.operators.joins import month_offset_lookup, pair_with, range_stats
@@ -148,7 +148,7 @@ def water_alerts(barn_env: DataFrame, *, scale: int | None = None, **options) ->
         scale=scale,
         **options,
     )
-    return alerts.withColumn("drop_pct", round_even(F.col("drop_pct"), 1))
+    return alerts.withColumn("drop_pct", round_half_up(F.col("drop_pct"), 1))
 
 
 def latest_alerts(alerts: DataFrame, n: int = 5) -> DataFrame:
@@ -185,7 +185,7 @@ def quote_comparison(
 ) -> DataFrame:
     """LRP cost per cwt against the put premium, highest coverage first."""
     lrp = per_head_to_cwt(F.col("per_head_premium"))
-    lrp = lrp if digits is None else round_even(lrp, digits)
+    lrp = lrp if digits is None else round_half_up(lrp, digits)
     saved = F.col("cme_premium") - F.col("lrp_cost_cwt")
     return (
         quotes.where((F.col("commodity") == commodity) & (F.col("coverage_level_percent") >= coverage_from))
@@ -197,7 +197,7 @@ def quote_comparison(
             "lrp_cost_cwt",
             F.col("cme_premium").alias("cme_put_cost_cwt"),
             "endorsement_length",
-            (saved if digits is None else round_even(saved, digits)).alias("savings"),
+            (saved if digits is None else round_half_up(saved, digits)).alias("savings"),
         )
         .orderBy(F.desc("coverage_level_percent"), "coverage_price", "endorsement_length")
         .limit(n)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paddock.functions.dates import parse_date
-from paddock.functions.text import snake_columns, to_number
+from paddock.functions.text import comma_number, snake_columns, to_number
 from paddock.sources.schemas import ENDPOINT_SCHEMA, FUTURES_SCHEMA, PRODUCER_DATES, PRODUCER_SCHEMAS
 
 DELIMITERS = {".csv": ",", ".tsv": "\t"}
@@ -27,21 +27,52 @@ def _separator(path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Delimited file or folder with a header line; ``.tsv`` paths are split at tabs."""
-    reader = spark.read.option("header", True).option("sep", _separator(path))
-    if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", False)
-    return reader.csv(path)
+    """Delimited file or folder with a header line; ``.tsv`` paths are split at tabs.
+
+    Quoted fields may hold separators, doubled quotes and line breaks. With a schema the header
+    must have its names; the columns are read as text and cast by :func:`declared`."""
+    reader = _reader(spark, _separator(path))
+    if schema is None:
+        return reader.csv(path)
+    return declared(reader.schema(_texts(schema)).option("enforceSchema", False).csv(path), schema)
+
+
+def _reader(spark: SparkSession, sep: str) -> DataFrameReader:
+    return spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=True)
+
+
+def _texts(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+
+
+def _declared(col: Column, kind: T.DataType) -> Column:
+    number = comma_number(F.trim(col))
+    if isinstance(kind, T.IntegralType):
+        return F.when(number == F.rint(number), number).cast(kind)
+    return number.cast(kind) if isinstance(kind, T.NumericType) else col.cast(kind)
+
+
+def declared(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns as the declared types. Whole numbers may be written ``1200.0`` or ``1,300``."""
+    return df.select(*[_declared(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields])
+
+
+def failed_casts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Per column: texts that are there and are null as the declared type."""
+    texts = _reader(spark, _separator(path)).schema(_texts(schema)).option("enforceSchema", False).csv(path)
+    lost = {f.name: F.col(f"`{f.name}`").isNotNull() & _declared(F.col(f"`{f.name}`"), f.dataType).isNull() for f in schema.fields}
+    counts = [F.struct(F.lit(n).alias("column"), F.count_if(c).alias("failed")) for n, c in lost.items()]
+    return texts.agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw delimited file with every column as text. A repeated header gets ``.1``, ``.2``
     and so on behind it, and the usual marks for a missing value become null."""
     sep = _separator(path)
-    header = [v or f"Unnamed: {i}" for i, v in enumerate(spark.read.option("sep", sep).csv(path).first())]
+    header = [v or f"Unnamed: {i}" for i, v in enumerate(_reader(spark, sep).option("header", False).csv(path).first())]
     names = [f"{h}.{n}" if (n := header[:i].count(h)) else h for i, h in enumerate(header)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    table = spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+    table = _reader(spark, sep).schema(schema).csv(path)
     return table.select(*[F.when(~F.col(f"`{n}`").isin(MISSING_MARKS), F.col(f"`{n}`")).alias(n) for n in names])
 
 
@@ -59,11 +90,11 @@ def read_endpoint(spark: SparkSession, path: str) -> DataFrame:
 
 def read_futures(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Daily prices of many contracts, one file each, with the file a row came from."""
-    reader = spark.read.option("header", True).schema(FUTURES_SCHEMA)
+    reader = _reader(spark, ",").schema(_texts(FUTURES_SCHEMA)).option("enforceSchema", False)
     table = reader.csv(paths if isinstance(paths, str) else list(paths))
-    return table.withColumn("time", parse_date(F.col("time"))).withColumn(
-        "source_file", F.col("_metadata.file_name")
-    )
+    typed = [_declared(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in FUTURES_SCHEMA.fields]
+    table = table.select(*typed, F.col("_metadata.file_name").alias("source_file"))
+    return table.withColumn("time", parse_date(F.col("time")))
 
 
 def cast_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -90,13 +121,13 @@ def read_optional(
     return None
 
 
-def list_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> dict[str, str]:
+def list_tables(spark: SparkSession, folder: str, suffixes: Sequence[str] = tuple(DELIMITERS)) -> dict[str, str]:
     """Base name and path of each data file in a folder, in order of the names."""
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(folder)
     files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(base)
     found = {f.getPath().getName(): f.getPath().toString() for f in files}
-    return {n.removesuffix(suffix): p for n, p in sorted(found.items()) if n.endswith(suffix)}
+    return {n.removesuffix(s): p for n, p in sorted(found.items()) for s in suffixes if n.endswith(s)}
 
 
 def read_table(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def write_csv(df: DataFrame, folder: str, name: str) -> dict:
     """CSV folder with headers; the manifest entry is counted while writing."""
     file = f"{safe_name(name)}.csv"
     counted, seen = _counted(df)
-    counted.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{file}")
+    counted.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(f"{folder.rstrip('/')}/{file}")
     return _entry(df, file, seen)
 
 

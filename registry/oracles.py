@@ -15,6 +15,11 @@ def even(expr: str, digits: int) -> str:
     return _EVEN.format(f"({expr})", f=f"{10**digits}.0::double")
 
 
+def half_up(expr: str, digits: int) -> str:
+    """As the source's SQL rounds: half away from zero."""
+    return f"(round({expr}, {digits}) + 0::double)"
+
+
 def total(expr: str, scale: int = 2) -> str:
     return f"cast(sum(cast({expr} as decimal(18,{scale}))) as double)"
 
@@ -123,7 +128,8 @@ DERIVED["pnl"] = (
 def _daily(commodity: str, name: str) -> str:
     return (
         f"SELECT trading_day AS date, close AS {name} FROM endpoint WHERE commodity = '{commodity}' "
-        "QUALIFY row_number() OVER (PARTITION BY trading_day ORDER BY symbol, close) = 1"
+        "QUALIFY row_number() OVER (PARTITION BY trading_day "
+        "ORDER BY right(symbol, 2), position(left(right(symbol, 3), 1) IN 'FGHJKMNQUVXZ'), close) = 1"
     )
 
 
@@ -178,7 +184,7 @@ DERIVED["margins"] = (
     FROM (
       SELECT *, {even("blend * 2.10 - cost", 2)} AS est_margin FROM (
         SELECT l.*, p.current_market_cwt, p.pnl_per_cwt, p.pnl_per_head, p.total_pnl, p.symbol AS hedge_symbol,
-          coalesce((SELECT feed_cost_per_head FROM feed ORDER BY date DESC LIMIT 1), 73.57::double) + 72.0::double AS cost,
+          case when exists (SELECT 1 FROM feed) then (SELECT feed_cost_per_head FROM feed ORDER BY date DESC LIMIT 1) else 73.57::double end + 72.0::double AS cost,
           case when p.current_market_cwt is null or p.current_market_cwt = 0 then null
             when l.instrument_type = 'Lean Hog Futures'
               then l.strike_or_futures_price_cwt * l.coverage_percent + p.current_market_cwt * (1 - l.coverage_percent)
@@ -472,8 +478,8 @@ ORACLES["q_exposure"] = sql(
     "life",
     """
     SELECT count(*) AS groups, cast(sum(unhedged_head) as bigint) AS exposed,
-      (SELECT pig_group_id FROM life WHERE unhedged_pct > 20 AND unhedged_head IS NOT NULL
-       ORDER BY unhedged_head DESC, pig_group_id LIMIT 1) AS most_exposed
+      (SELECT concat('PG-', pig_group_id) FROM life WHERE unhedged_pct > 20 AND unhedged_head IS NOT NULL
+       ORDER BY unhedged_head DESC, concat('PG-', pig_group_id) LIMIT 1) AS most_exposed
     FROM life WHERE unhedged_pct > 20""",
 )
 ORACLES["q_total_deaths"] = sql(
@@ -497,14 +503,14 @@ ORACLES["q_alert_topk"] = sql(
     "barn_days",
     f"""
     SELECT site, barn, date, water_usage_gallons, avg14, avg_temperature_f,
-      {even("(1 - water_usage_gallons / nullif(avg14, 0)) * 100", 1)} AS drop_pct
+      {half_up("(1 - water_usage_gallons / nullif(avg14, 0)) * 100", 1)} AS drop_pct
     FROM ({trailing("barn_days", "site, barn", "date", "water_usage_gallons", 14, "avg14")})
     WHERE water_usage_gallons < avg14 * 0.85 AND avg14 > 0 ORDER BY date DESC, site, barn LIMIT 5""",
 )
 ORACLES["q_water_alerts"] = sql(
     "barn_days",
     f"""
-    SELECT site, barn, date, avg14, {even("(1 - water_usage_gallons / nullif(avg14, 0)) * 100", 1)} AS drop_pct
+    SELECT site, barn, date, avg14, {half_up("(1 - water_usage_gallons / nullif(avg14, 0)) * 100", 1)} AS drop_pct
     FROM ({trailing("barn_days", "site, barn", "date", "water_usage_gallons", 7, "avg14")})
     WHERE water_usage_gallons < avg14 * 0.85""",
 )
@@ -608,8 +614,8 @@ ORACLES["q_margin"] = sql(
 ORACLES["q_premium_compare"] = sql(
     "lrp_quotes",
     f"""
-    SELECT *, {even("cme_put_cost_cwt - lrp_cost_cwt", 2)} AS savings FROM (
-      SELECT commodity, coverage_level_percent, coverage_price, {even("per_head_premium / 2.10", 2)} AS lrp_cost_cwt,
+    SELECT *, {half_up("cme_put_cost_cwt - lrp_cost_cwt", 2)} AS savings FROM (
+      SELECT commodity, coverage_level_percent, coverage_price, {half_up("per_head_premium / 2.10", 2)} AS lrp_cost_cwt,
         cme_premium AS cme_put_cost_cwt, endorsement_length
       FROM lrp_quotes WHERE commodity = 'CME LEAN HOGS' AND coverage_level_percent >= 0.90
       ORDER BY coverage_level_percent DESC, coverage_price, endorsement_length LIMIT 10)""",
@@ -676,9 +682,11 @@ ORACLES["q_insight"] = sql(
     UNION ALL SELECT * FROM (SELECT 'weakest', cast(pig_group_id as string), pnl_per_head FROM pnl
       WHERE pnl_per_head IS NOT NULL ORDER BY pnl_per_head, pig_group_id LIMIT 1)
     UNION ALL SELECT 'low_coverage', cast(pig_group_id as string), coverage_pct FROM pnl WHERE coverage_pct < 0.55
+    UNION ALL SELECT 'low_coverage_groups', coalesce(string_agg(DISTINCT cast(pig_group_id as string), ', ' ORDER BY cast(pig_group_id as string)), ''), cast(count(*) as double)
+      FROM pnl WHERE coverage_pct < 0.55
     UNION ALL SELECT 'best_packer', concat(packer, ' ', contract_type), advantage_per_head FROM ranking WHERE rank = 1
     UNION ALL SELECT * FROM (SELECT 'feed_cost', cast(date as string), feed_cost_per_head FROM feed ORDER BY date DESC LIMIT 1)
-    UNION ALL SELECT 'barn_alerts', 'water', cast(least(count(*), 5) as double)
+    UNION ALL SELECT 'barn_alerts', 'water', cast(count(*) as double)
       FROM ({trailing("barn_days", "site, barn", "date", "water_usage_gallons", 14, "avg14")})
       WHERE water_usage_gallons < avg14 * 0.85 AND avg14 > 0""",
 )
@@ -804,7 +812,7 @@ _INTENT = f"""
       else 'weekly_summary' end"""
 _ROUTED = (
     "SELECT *, {intent} AS intent, upper(g) AS group_id FROM "
-    "(SELECT *, list_min(regexp_extract_all(q, 'pg-10[01]\\d')) AS g FROM (SELECT *, lower(trim(text)) AS q FROM {source}))"
+    "(SELECT *, list_min(regexp_extract_all(q, '\\bpg-\\d+\\b')) AS g FROM (SELECT *, lower(trim(text)) AS q FROM {source}))"
 )
 ORACLES["q_route"] = "SELECT conv_id, turn, intent, group_id FROM (" + _ROUTED.format(
     intent=_INTENT, source="(SELECT * FROM conversations WHERE role = 'user')"

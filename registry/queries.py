@@ -362,7 +362,8 @@ def q_kpi(t: Tables) -> DataFrame:
 
 @query
 def q_exposure(t: Tables) -> DataFrame:
-    return agg.exposure(questions.unhedged_exposure({"lifecycle": t.lifecycle()}), "pig_group_id", "unhedged_head")
+    open_heads = questions.unhedged_exposure({"lifecycle": t.lifecycle()})
+    return agg.exposure(open_heads.withColumn("pig_group_id", F.concat(F.lit("PG-"), "pig_group_id")), "pig_group_id", "unhedged_head")
 
 
 @query

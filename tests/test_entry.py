@@ -22,10 +22,10 @@ def test_entry_has_rows(spark):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"q_match", "q_detect"}
+    assert set(entry.QUERIES) - set(entry.oracle_sql()) == {"q_match", "q_detect"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_equals_its_sql_twin(spark, connection, name):
     verdict = compare(spark, connection, name, entry.queries()[name], entry.oracle_sql().get(name), FOLDER)
     assert verdict.startswith(("ok", "rows only")), verdict

@@ -120,15 +120,15 @@ def test_range_names_are_sorted_and_distinct(spark):
     assert out.first()["farms"] == "a, b"
 
 
-@pytest.mark.parametrize("target", [10_000, 20, 4])
-def test_nearest_value_equals_brute_force(spark, target):
+@pytest.mark.parametrize("parts", [1, 4, 23])
+def test_nearest_value_equals_brute_force(spark, parts):
     rng = random.Random(5)
     spot = lambda: rng.choice([rng.randrange(0, 400) / 4, 50 + rng.randrange(0, 64) / 1024])
     left = [(i, rng.choice("abz"), spot()) for i in range(160)]
     right = [(i, rng.choice("ab"), spot()) for i in range(30)]
     l = spark.createDataFrame(left, "id int, g string, x double")
     r = spark.createDataFrame(right, "rid int, g string, y double")
-    out = joins.nearest_value(l, r, "x", "y", ["rid"], by=["g"], key="rid", target_rows=target)
+    out = joins.nearest_value(l, r, "x", "y", ["rid"], by=["g"], key="rid", partitions=parts)
     got = {o["id"]: (o["rid"], o["price_diff"]) for o in out.collect()}
     want = {}
     for i, g, x in left:
@@ -191,3 +191,15 @@ def test_no_nested_loops_in_any_registered_plan(spark):
     for name in ("q_asof_nearest", "q_asof_keyed", "q_interval_stats", "q_range_window", "q_range_global", "q_nearest_value", "q_scenario_rows"):
         plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_days_are_asked_for(spark):
+    instants = spark.sql("SELECT timestamp'2025-01-01 10:00:00' AS t, 1 AS v")
+    days = spark.sql("SELECT date'2025-01-01' AS d")
+    with pytest.raises(TypeError, match="must be a date"):
+        joins.asof_nearest(days, instants, "d", "t", ["v"])
+
+
+def test_too_many_tables_are_refused(spark):
+    with pytest.raises(ValueError, match="62"):
+        joins.key_overlap(spark.range(1), {str(i): spark.range(1) for i in range(63)}, "id")

@@ -9,7 +9,7 @@ CASES = [
     ("add 30% hedge to PG-1001", "scenario_add_hedge", "PG-1001", None, None, 30.0),
     ("add hedge to PG-1001 now", "scenario_add_hedge", "PG-1001", None, None, 20.0),
     ("add hedge 150 or 40 to PG-1001", "scenario_add_hedge", "PG-1001", None, None, 40.0),
-    ("pg-1020 summary", "weekly_summary", None, None, None, None),
+    ("pg-1020 summary", "group_summary", "PG-1020", None, None, None),
     ("What should I do", "action_recommendation", None, None, None, None),
     ("what if corn goes to $6", "scenario_feed", None, None, 600.0, None),
     ("what if corn goes to 650 cents", "scenario_feed", None, None, 650.0, None),

@@ -157,3 +157,27 @@ def test_local_folder_is_refused_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_quotes_and_line_breaks_survive(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text('a,b,c\n1,"a ""b"" c, d",x\n2,"two\nlines",y\n')
+    want = [("1", 'a "b" c, d', "x"), ("2", "two\nlines", "y")]
+    for read in (readers.read_delimited, readers.read_raw):
+        assert sorted(tuple(r) for r in read(spark, f"{tmp_path}/raw.csv").collect()) == want
+    writers.write_csv(readers.read_raw(spark, f"{tmp_path}/raw.csv"), str(tmp_path / "out"), "again")
+    assert sorted(tuple(r) for r in readers.read_raw(spark, f"{tmp_path}/out/again.csv").collect()) == want
+
+
+def test_whole_numbers_in_other_forms(spark, tmp_path):
+    kind = struct("g:s n:i v:d")
+    (tmp_path / "t.csv").write_text('g,n,v\na,1200.0,"1,300.5"\nb,"1,300",2\nc,1.5,x\nd,,\n')
+    got = [tuple(r) for r in readers.read_delimited(spark, f"{tmp_path}/t.csv", kind).collect()]
+    assert got == [("a", 1200, 1300.5), ("b", 1300, 2.0), ("c", None, None), ("d", None, None)]
+    failed = {r["column"]: r["failed"] for r in readers.failed_casts(spark, f"{tmp_path}/t.csv", kind).collect()}
+    assert failed == {"g": 0, "n": 1, "v": 1}
+
+
+def test_folders_hold_both_kinds_of_files(spark, tmp_path):
+    for name in ("a.csv", "b.tsv", "c.txt"):
+        (tmp_path / name).write_text("x\n1\n")
+    assert list(readers.list_tables(spark, str(tmp_path))) == ["a", "b"]
