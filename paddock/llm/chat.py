@@ -72,7 +72,7 @@ def _assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     current, position, start = object(), 0, 0
     for frame in frames:
         out = []
-        for conv, fragment, head, loss, attachments in zip(frame["conv_key"], frame["fragment"], frame["head"], frame["loss"], frame["attachments"]):
+        for conv, fragment, head, loss, attachments in zip(frame["conv_id"], frame["fragment"], frame["head"], frame["loss"], frame["attachments"]):
             if conv != current:
                 current, position, start = conv, 0, 0
             a, b = (start + head, start + len(fragment) - len(END)) if loss else (None, None)
@@ -103,13 +103,14 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) ->
         lambda x: F.struct(x["kind"], x["ref"], x["at"], x["tokens"]),
     )
     flat = (
-        turns.select(F.col("conv_id").cast("bigint").alias("conv_key"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), parts.alias("known"))
+        turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), parts.alias("known"))
         .withColumn("known", F.filter("known", lambda p: p.isNotNull()))
         .withColumn("body", body)
-        .select("conv_key", "turn", "role", "body", shown.alias("fragment"), F.length(head).alias("head"), F.col("role").isin(*loss_roles).alias("loss"), listed.alias("attachments"))
+        .select("conv_id", "turn", "role", "body", shown.alias("fragment"), F.length(head).alias("head"), F.col("role").isin(*loss_roles).alias("loss"), listed.alias("attachments"))
     )
-    ordered = flat.repartition("conv_key").sortWithinPartitions("conv_key", "turn", "role", "body").drop("turn", "role", "body")
-    return ordered.mapInPandas(_assemble, FORMATTED)
+    ordered = flat.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "body").drop("turn", "role", "body")
+    # ids travel as texts, since pandas would make numbers next to nulls floating
+    return ordered.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(_assemble, FORMATTED)
 
 
 def parse_turn(fragment: str) -> tuple[str, str]:
@@ -131,7 +132,7 @@ def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if position == 0:
                 if not first:
                     out.append(close())
-                current, first = (None if pd.isna(conv) else int(conv)), False
+                current, first = (None if conv is None else int(conv)), False
                 state = [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
             role, text = parse_turn(fragment)
             state[0] += 1
@@ -151,4 +152,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     It follows `format_chats` directly, whose rows of a conversation lie together in order.
     """
-    return formatted.mapInPandas(_digest, DIGESTS)
+    return formatted.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(_digest, DIGESTS)

@@ -91,14 +91,16 @@ def _unit(vector) -> np.ndarray | None:
 
 def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield pd.DataFrame({"vec_id": frame["vec_id"].astype("Int64"), "unit": [_unit(v) for v in frame["embedding"]]})
+        yield pd.DataFrame({"vec_id": frame["vec_id"], "unit": [_unit(v) for v in frame["embedding"]]})
 
 
 def units(vectors: DataFrame) -> DataFrame:
     """(vec_id, unit): vectors of length one in double precision; unit is null where a vector is
     null, empty, zero, or has a null or non-finite component."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInPandas(_units, "vec_id bigint, unit array<double>")
+    # ids travel as texts, since pandas would make numbers next to nulls floating
+    found = rows.withColumn("vec_id", F.col("vec_id").cast("string")).mapInPandas(_units, "vec_id string, unit array<double>")
+    return found.withColumn("vec_id", F.col("vec_id").cast("bigint"))
 
 
 def candidate_pairs(classes: DataFrame, count: int, tables: int = TABLES, bits: int = CELL_BITS, width: float = WIDTH) -> DataFrame:
