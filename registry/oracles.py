@@ -226,7 +226,7 @@ ORACLES["q_nursery_hedging"] = sql(
 )
 ORACLES["q_asof_nearest"] = f"""
     WITH o AS (SELECT o_orderkey, cast(o_orderdate as date) AS order_date FROM orders),
-    p AS (SELECT cast(l_shipdate as date) AS ship_date, l_extendedprice FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R')
+    p AS (SELECT cast(l_shipdate as date) AS ship_date, l_extendedprice FROM lineitem)
     SELECT o.o_orderkey, o.order_date, m.price, m.price_date, m.price_off AS days_offset
     FROM o LEFT JOIN ({nearest("o", "p", "order_date", "ship_date", "l_extendedprice", "price", 5)}) m ON o.order_date = m.order_date"""
 ORACLES["q_asof_chain"] = sql("dashboard", "SELECT * FROM dashboard")
@@ -602,8 +602,7 @@ ORACLES["q_drop_nulls_const"] = sql(
     FROM raw_rows WHERE "Total$" IS NOT NULL""",
 )
 ORACLES["q_union"] = """
-    SELECT c_custkey, c_mktsegment, lower(c_mktsegment) AS source FROM customer
-    WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE')"""
+    SELECT c_custkey, c_mktsegment, lower(c_mktsegment) AS source FROM customer WHERE c_mktsegment IS NOT NULL"""
 
 # Market formulas and scenarios -----------------------------------------------------------
 

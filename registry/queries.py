@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def q_nursery_hedging(t: Tables) -> DataFrame:
 
 @query
 def q_asof_nearest(t: Tables) -> DataFrame:
-    prices = t.lineitem_dated.where((F.col("l_quantity") == 50) & (F.col("l_returnflag") == "R"))
+    prices = t.lineitem_dated
     return joins.asof_nearest(
         t.orders_dated.select("o_orderkey", "order_date"),
         prices.select("ship_date", F.col("l_extendedprice").alias("price")),
@@ -516,9 +517,9 @@ def q_drop_nulls_const(t: Tables) -> DataFrame:
 def q_union(t: Tables) -> DataFrame:
     slices = [
         t.customer.where(F.col("c_mktsegment") == segment).select("c_custkey", "c_mktsegment", F.lit(segment.lower()).alias("source"))
-        for segment in ("BUILDING", "MACHINERY", "FURNITURE")
+        for segment in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
     ]
-    return slices[0].unionByName(slices[1]).unionByName(slices[2])
+    return reduce(DataFrame.unionByName, slices)
 
 
 # Market formulas and scenarios -----------------------------------------------------------
