@@ -29,49 +29,45 @@ SAME_TYPE_BONUS, DATE_CLASH, TEXT_NUMBER_CLASH = 0.20, 0.15, 0.10
 ACCEPT_ABOVE, REMATCH_ABOVE = 0.45, 0.40
 
 
-def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per value: the column, its text, a hash that is null for a missing value,
-    and whether the column is of a number type (those carry no text)."""
-
-    def value(field: T.StructField) -> Column:
-        col = F.col(f"`{field.name}`")
-        numbers = isinstance(field.dataType, T.NumericType)
-        return F.struct(
-            F.lit(field.name).alias("column"),
-            F.lit(None).cast("string").alias("text") if numbers else col.cast("string").alias("text"),
-            F.when(col.isNotNull(), F.xxhash64(col)).alias("mark"),
-            F.lit(numbers).alias("numbers"),
-        )
+# A text that is a number can only be a date in its compact form.
+_COMPACT_DATE = r"^\s*\d{8}\s*$"
+
+
+def _facts(field: T.StructField) -> Column:
+    """Struct of one column's counts, rates and sketch, as one aggregate over all rows."""
+    col = F.col(f"`{field.name}`")
+    numbers, text = isinstance(field.dataType, T.NumericType), col.cast("string")
 
-    fields = [f for f in df.schema.fields if f.name in set(columns)]
-    return df.select(F.explode(F.array(*[value(f) for f in fields])).alias("v")).select("v.*")
+    def rate(condition: Column) -> Column:
+        return F.avg(F.when(col.isNotNull(), condition.cast("double")))
+
+    if numbers:
+        numeric, marks, dated, length = F.lit(True), F.lit(False), F.lit(False), F.lit(None).cast("double")
+    else:
+        numeric, marks, length = to_number(text).isNotNull(), text.rlike(r"[/\-]"), F.avg(F.length(text))
+        dated = F.when(numeric & ~text.rlike(_COMPACT_DATE), F.lit(False)).otherwise(parse_date(text).isNotNull())
+    return F.struct(
+        F.lit(field.name).alias("column"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(col).alias("n_values"),
+        rate(numeric).alias("numeric_rate"),
+        rate(flag(marks)).alias("date_mark_rate"),
+        rate(dated).alias("date_rate"),
+        length.alias("avg_length"),
+        F.hll_sketch_estimate(F.hll_sketch_agg(F.when(col.isNotNull(), F.xxhash64(col)))).alias("n_distinct"),
+    )
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: counts, rates and the guessed type with its confidence.
 
-    All columns are measured in one pass over all rows and combined map-side, to one row
-    per column and task. The number of distinct values comes from a sketch that lists the
-    values while they are few, so the ten of a category are counted and only larger
-    numbers are estimates."""
-
-    def rate(condition: Column) -> Column:
-        return F.avg(F.when(F.col("mark").isNotNull(), condition.cast("double")))
-
-    text, numbers = F.col("text"), F.col("numbers")
-    rows = (
-        _values(df, columns or df.columns)
-        .groupBy("column")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count("mark").alias("n_values"),
-            rate(numbers | to_number(text).isNotNull()).alias("numeric_rate"),
-            rate(flag(text.rlike(r"[/\-]"))).alias("date_mark_rate"),
-            rate(parse_date(text).isNotNull()).alias("date_rate"),
-            F.avg(F.length(text)).alias("avg_length"),
-            F.hll_sketch_estimate(F.hll_sketch_agg("mark")).alias("n_distinct"),
-        )
-    )
+    All columns are measured in one aggregate over all rows, which reaches the shuffle as one
+    row per task; no row is multiplied by the columns. The number of distinct values comes
+    from a sketch that lists the values while they are few, so the ten of a category are
+    counted and only larger numbers are estimates."""
+    wanted = set(columns or df.columns)
+    facts = F.array(*[_facts(f) for f in df.schema.fields if f.name in wanted])
+    rows = df.agg(facts.alias("facts")).select(F.inline("facts"))
     kind = (
         F.when(F.col("n_values") == 0, "unknown")
         .when(F.col("numeric_rate") > MOSTLY, "numeric")
