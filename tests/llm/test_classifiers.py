@@ -41,7 +41,7 @@ def test_severity_follows_the_grades():
 
 
 def test_toxicity_rows(documents, edges, one_each, tables):
-    model = toxicity.fit(["good day", "idiot here"] * 30, np.array([0, 1] * 30))
+    model = toxicity.fit(["good day", "idiot here"] * 60, np.array([0, 1] * 60))
     rows = edges + [(1, "IDIOT HERE", "en", "s", 0), (2, "good", "en", "s", 0)]
     got = toxicity.severities(documents(rows), model)
     one_each(rows, got)

@@ -61,16 +61,18 @@ def test_empty_table(spark):
     assert result(spark, []) == []
 
 
-def test_recall_at_the_threshold_itself():
+@pytest.mark.parametrize("vectors", [100, 10_000, 1_000_000])
+def test_recall_at_the_threshold_itself(vectors):
     """Pairs just above the threshold, judged by the tables without Spark."""
     rng = np.random.default_rng(2)
-    count, found, tables, bits = collisions.least_count(), 0, collisions.TABLES, collisions.CELL_BITS
+    bits = collisions.cell_bits(vectors)
+    tables, found = collisions.tables_for(bits), 0
     directions = collisions._projections(64, tables, bits)
     for _ in range(400):
         a = rng.standard_normal(64)
         a /= np.linalg.norm(a)
         x, y = ((v @ directions).reshape(tables, bits + 1) for v in (a, near(rng, a, 0.9)))
-        found += (((x[:, 1:] > 0) == (y[:, 1:] > 0)).all(axis=1) & (np.abs(x[:, 0] - y[:, 0]) <= collisions.WIDTH)).sum() >= count
+        found += (((x[:, 1:] > 0) == (y[:, 1:] > 0)).all(axis=1) & (np.abs(x[:, 0] - y[:, 0]) <= collisions.WIDTH)).sum() >= collisions.LEAST
     assert found >= 0.97 * 400
 
 
@@ -83,9 +85,10 @@ def test_recall_in_whole(spark):
     assert sum(got.values()) >= 0.97 * sum(want.values()) and all(got[i] <= want[i] for i in want)
 
 
-@pytest.mark.parametrize("recall", [0.5, 0.9, 0.999])
-def test_least_count_keeps_the_recall(recall):
-    p, n = collisions.collision_chance(0.9), collisions.TABLES
-    count = collisions.least_count(recall=recall)
-    at_least = lambda k: 1 - sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k))
-    assert at_least(count) >= recall > at_least(count + 1)
+def test_tables_grow_slower_than_vectors():
+    for vectors in (100, 10_000, 10**6, 10**8):
+        bits = collisions.cell_bits(vectors)
+        tables = collisions.tables_for(bits)
+        assert collisions.recall_of(tables, bits) >= collisions.RECALL > collisions.recall_of(tables - 1, bits)
+        assert vectors / 2**bits <= collisions.PER_CELL
+    assert collisions.tables_for(collisions.cell_bits(10**8)) < 40 * collisions.tables_for(collisions.cell_bits(10**4))

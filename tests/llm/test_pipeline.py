@@ -6,10 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from llm.test_decontaminate import by_hand as items_by_hand
+from llm.test_minmax import by_hand as groups_by_hand
 from paddock.llm import queries
 from registry.queries import TABLES
-from test_decontaminate import by_hand as items_by_hand
-from test_minmax import by_hand as groups_by_hand
 from tools.check_oracles import compare
 
 FOLDER = "/root/testdata/sf0.001"
