@@ -11,13 +11,17 @@ size and take their places by rank.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from paddock.llm.common import checkpointed, shuffle_partitions
 
 CAPACITY = 1024
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 UNIT = 8
 MAX_PRICINGS = 400
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -34,12 +38,28 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 # --- tokens
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes and id of every token of a byte-level vocabulary whose ids follow its merges; else None."""
+    with open(path, encoding="utf-8") as file:
+        kept = json.load(file)
+    if kept["model"]["type"] != "BPE" or (kept["pre_tokenizer"] or {}).get("type") != "ByteLevel" or kept["normalizer"] or kept["pre_tokenizer"]["add_prefix_space"]:
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    added = {t["content"] for t in kept["added_tokens"]}
+    vocabulary = {t: i for t, i in kept["model"]["vocab"].items() if t not in added}
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in kept["model"]["merges"]]
+    return {bytes(signs[c] for c in t): i for t, i in vocabulary.items()} if merged == sorted(merged) else None
+
+
 class Tokens:
     """Token ids of texts as packed little-endian words, with a bounded cache of chunks.
 
     A single space between two non-spaces begins a new piece of the vocabulary's pattern
-    whatever follows, so what lies between such spaces is encoded by itself and kept. Texts that
-    hold an added token's string are encoded whole by the tokenizer.
+    whatever follows, so what lies between such spaces is encoded by itself and kept. Chunks of a
+    byte-level vocabulary are merged by its ranks. Texts that hold an added token's string are
+    encoded whole by the tokenizer.
     """
 
     SPLIT = re.compile(r"(?<=\S) (?=\S)")
@@ -50,26 +70,35 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.merges = None
+        if ranks := byte_ranks(path):
+            self.merges = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", self.merges.encode_ordinary(c)).tobytes() for c in chunks] if self.merges else self._encode(chunks)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
         for text in texts:
             if any(a in text for a in self.added):
                 cut.append(None)
-            elif re.search(r"\s\s", text) or text[:1].isspace() or text[-1:].isspace():
+            elif "\0" in text or re.search(r"\s\s", text) or text[:1].isspace() or text[-1:].isspace():
                 first, *rest = self.SPLIT.split(text)
                 cut.append([first, *[" " + c for c in rest]])
             else:
-                cut.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text])
-        wanted = {c for chunks in cut if chunks for c in chunks}
-        if len(self.known) + len(wanted) > CACHE_CHUNKS:
-            self.known = {}
-        new = [c for c in wanted if c not in self.known]
-        known = self.known
-        known.update(zip(new, self._encode(new)))
+                cut.append(text.replace(" ", "\0 ").split("\0"))
+        if len(self.known) > CACHE_CHUNKS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        wanted = set().union(*[c for c in cut if c]).difference(known)
+        found = {c: older[c] for c in wanted if c in older}
+        known.update(found)
+        new = list(wanted.difference(found))
+        known.update(zip(new, self._chunks(new)))
         return [self._encode([t])[0] if chunks is None else b"".join(map(known.__getitem__, chunks)) for t, chunks in zip(texts, cut)]
 
 
