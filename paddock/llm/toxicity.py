@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from paddock.llm.common import held_out, mix, sample_ids, sample_texts, span_hashes, text_blocks
 
 GRADES = 3
-PER_LABEL = 4000
+PER_LABEL = 3000
 FEATURES = 800
 STARTS = (4, 5)
 REJECT = 0.35
@@ -84,14 +84,25 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - total[:, None], -60, 60)))
 
 
-def choose_features(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, limit: int) -> np.ndarray:
+def _text_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the texts and the number of texts that have each, counted in blocks."""
+    names, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    for a in range(0, len(texts), 200):
+        text, found = word_features(*_pack(texts[a : a + 200]))
+        local, place = np.unique(found, return_inverse=True)
+        pair = np.unique(text.astype(np.int64) * len(local) + place)
+        both = np.concatenate((names, local))
+        names, place = np.unique(both, return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate((counts, np.bincount(pair % len(local), minlength=len(local)))), minlength=len(names)).astype(np.int64)
+    return names, counts
+
+
+def choose_features(texts: list[str], toxic: np.ndarray, limit: int) -> np.ndarray:
     """Hashes whose share of toxic texts stands out most from their share of the others."""
-    text, found = word_features(data, offsets)
-    names, place = np.unique(found, return_inverse=True)
-    pair = np.unique(text.astype(np.int64) * len(names) + place)
-    text, place = pair // len(names), pair % len(names)
-    bad = np.bincount(place[toxic[text]], minlength=len(names))
-    good = np.bincount(place[~toxic[text]], minlength=len(names))
+    names, bad = _text_counts([t for t, y in zip(texts, toxic) if y])
+    others, counts = _text_counts([t for t, y in zip(texts, toxic) if not y])
+    place = np.minimum(np.searchsorted(others, names), len(others) - 1)
+    good = np.where(others[place] == names, counts[place], 0) if len(others) else np.zeros(len(names), dtype=np.int64)
     share = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
     deviation = share / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
     best = np.lexsort((names, -deviation))[:limit]
@@ -100,16 +111,16 @@ def choose_features(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, li
 
 def fit(texts: list[str], toxic: np.ndarray, limit: int = FEATURES, steps: int = 300, ridge: float = 1e-3) -> Model:
     """Grades, then shared weights and thresholds by gradient steps on the ordinal likelihood."""
-    data, offsets = _pack(texts)
     toxic = np.asarray(toxic, dtype=bool)
-    hashes = choose_features(data, offsets, toxic, limit) if toxic.any() and not toxic.all() else np.zeros(0, dtype=np.uint64)
+    hashes = choose_features(texts, toxic, limit) if toxic.any() and not toxic.all() else np.zeros(0, dtype=np.uint64)
     model = Model(hashes, np.zeros(len(hashes)), np.log(np.arange(1, GRADES + 1)) + 1.0)
     if not len(hashes):
         return model
-    text, feature, count = model.counts(data, offsets)
-    x = np.zeros((len(texts), len(hashes)))
-    x[text, feature] = np.log1p(count)
-    marks = np.bincount(text, weights=count, minlength=len(texts))
+    x, marks = np.zeros((len(texts), len(hashes)), dtype=np.float32), np.zeros(len(texts))
+    for a in range(0, len(texts), 200):
+        text, feature, count = model.counts(*_pack(texts[a : a + 200]))
+        x[a + text, feature] = np.log1p(count)
+        marks[a : a + 200] = np.bincount(text, weights=count, minlength=len(texts[a : a + 200]))
     grade = np.where(toxic, 1 + np.searchsorted(np.quantile(marks[toxic], np.arange(1, GRADES) / GRADES), marks, "left"), 0)
     # thresholds are a first value and positive steps, so that they stay ordered
     weight, first, steps_up = np.zeros(len(hashes)), 1.0, np.zeros(GRADES - 1)
@@ -118,8 +129,9 @@ def fit(texts: list[str], toxic: np.ndarray, limit: int = FEATURES, steps: int =
     rows = np.arange(len(texts))
     for step in range(1, steps + 1):
         theta = params[1][0] + np.concatenate(([0.0], np.cumsum(np.exp(params[2]))))
-        low = np.concatenate((theta, [np.inf]))[grade] - x @ params[0]
-        high = np.concatenate(([-np.inf], theta))[grade] - x @ params[0]
+        total = x @ params[0].astype(np.float32)
+        low = np.concatenate((theta, [np.inf]))[grade] - total
+        high = np.concatenate(([-np.inf], theta))[grade] - total
         up, down = 1 / (1 + np.exp(-np.clip(low, -40, 40))), 1 / (1 + np.exp(-np.clip(high, -40, 40)))
         up[grade == GRADES], down[grade == 0] = 1.0, 0.0
         chance = np.maximum(up - down, 1e-9)
@@ -129,7 +141,7 @@ def fit(texts: list[str], toxic: np.ndarray, limit: int = FEATURES, steps: int =
         by_theta[rows[grade > 0], grade[grade > 0] - 1] -= at_down[grade > 0]
         each = by_theta.mean(axis=0)
         tail = np.array([each[k + 1 :].sum() for k in range(GRADES - 1)])
-        slopes = [x.T @ (at_down - at_up) / len(texts) - ridge * params[0], np.array([each.sum()]), tail * np.exp(params[2])]
+        slopes = [(at_down - at_up).astype(np.float32) @ x / len(texts) - ridge * params[0], np.array([each.sum()]), tail * np.exp(params[2])]
         for p, slope, (m, v) in zip(params, slopes, memory):
             m += 0.1 * (slope - m)
             v += 0.01 * (slope**2 - v)
