@@ -1,11 +1,13 @@
 """Near-duplicate vectors by counting collisions of sorted one-dimensional projections.
 
-Each of TABLES tables projects the unit vectors on one random direction and orders them by it
-within cells given by the signs of CELL_BITS further projections. Two vectors collide in a
-table if they lie in one cell and one lies in the window of WIDTH around the other. At a cosine
-of 0.9 a pair collides in a table with the chance `collision_chance` gives, so the number of
-tables in which it does is binomial; `least_count` is the largest count that keeps the asked
-recall. Pairs that reach it are verified in double precision.
+Each table projects the unit vectors on one random direction and orders them by it within cells
+given by the signs of further projections. Two vectors collide in a table if they lie in one cell
+and one lies in the window of WIDTH around the other. At a cosine of 0.9 a pair collides in a
+table with the chance `collision_chance` gives, so the number of tables in which it does is
+binomial. A pair must collide LEAST times. Cells get one sign more for each doubling of the
+vectors, so that about PER_CELL unrelated ones share a cell, and `tables_for` adds tables until
+pairs at the cosine reach LEAST with the asked recall: work grows less than with the square of
+the vectors. Pairs that reach the count are verified in double precision.
 """
 
 from __future__ import annotations
@@ -21,30 +23,37 @@ from pyspark.sql import functions as F
 from paddock.llm.common import checkpointed
 from paddock.llm.components import components
 
-TABLES = 64
-CELL_BITS = 12
+PER_CELL = 8
+LEAST = 2
 WIDTH = 0.6
 RECALL = 0.995
 COSINE = 0.9
 
 
-def collision_chance(cosine: float, bits: int = CELL_BITS, width: float = WIDTH) -> float:
+def collision_chance(cosine: float, bits: int, width: float = WIDTH) -> float:
     """Chance that two unit vectors with this cosine collide in one table."""
     same_cell = (1 - math.acos(min(1.0, cosine)) / math.pi) ** bits
     distance = math.sqrt(max(0.0, 2 - 2 * cosine))
     return same_cell * (math.erf(width / distance / math.sqrt(2)) if distance else 1.0)
 
 
-def least_count(cosine: float = COSINE, tables: int = TABLES, recall: float = RECALL, bits: int = CELL_BITS, width: float = WIDTH) -> int:
-    """Largest count that a pair at the cosine reaches with at least the asked chance; 1 at least."""
-    p = collision_chance(cosine, bits, width)
-    below, count = 0.0, 0
-    while count < tables:
-        below += math.comb(tables, count) * p**count * (1 - p) ** (tables - count)
-        if 1 - below < recall:
-            break
-        count += 1
-    return max(1, count)
+def cell_bits(vectors: int) -> int:
+    """Signs that make up a cell: about PER_CELL vectors share one."""
+    return max(1, math.ceil(math.log2(max(2, vectors) / PER_CELL)))
+
+
+def recall_of(tables: int, bits: int, cosine: float = COSINE, least: int = LEAST) -> float:
+    """Chance that a pair at the cosine collides at least `least` times."""
+    p = collision_chance(cosine, bits)
+    return 1 - sum(math.comb(tables, k) * p**k * (1 - p) ** (tables - k) for k in range(least))
+
+
+def tables_for(bits: int, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """The fewest tables that keep the recall."""
+    tables = LEAST
+    while recall_of(tables, bits, cosine) < recall:
+        tables += 1
+    return tables
 
 
 def _projections(size: int, tables: int, bits: int) -> np.ndarray:
@@ -57,14 +66,15 @@ def _project(tables: int, bits: int):
         for frame in frames:
             vectors = frame["unit"].map(np.asarray)
             for size, part in vectors.groupby(vectors.map(len)):
-                for a in range(0, len(part), 1000):
-                    rows = part.iloc[a : a + 1000]
+                step = max(1, 1_000_000 // (tables * (bits + 1)))
+                for a in range(0, len(part), step):
+                    rows = part.iloc[a : a + step]
                     value = (np.stack(rows.to_list()) @ _projections(size, tables, bits)).reshape(len(rows), tables, bits + 1)
-                    cell = (value[:, :, 1:] > 0) @ (1 << np.arange(bits, dtype=np.int64)) + (size << (bits + 8))
+                    cell = (value[:, :, 1:] > 0) @ (1 << np.arange(bits, dtype=np.int64)) + (size << bits)
                     yield pd.DataFrame(
                         {
                             "id": np.repeat(frame["id"].to_numpy()[rows.index], tables),
-                            "cell": (cell << 8 | np.arange(tables)).ravel(),
+                            "cell": (cell * tables + np.arange(tables)).ravel(),
                             "value": value[:, :, 0].ravel(),
                         }
                     )
@@ -103,7 +113,7 @@ def units(vectors: DataFrame) -> DataFrame:
     return found.withColumn("vec_id", F.col("vec_id").cast("bigint"))
 
 
-def candidate_pairs(classes: DataFrame, count: int, tables: int = TABLES, bits: int = CELL_BITS, width: float = WIDTH) -> DataFrame:
+def candidate_pairs(classes: DataFrame, tables: int, bits: int, count: int = LEAST, width: float = WIDTH) -> DataFrame:
     """Pairs (a < b) of classes (id, unit) that collide in at least `count` tables.
 
     Values are cut into bins as wide as the window, so a pair lies in one bin or in neighbours,
@@ -134,7 +144,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     keyed = rows.where("unit IS NOT NULL AND vec_id IS NOT NULL")
     # the smallest id stands for its class; the class key is the vector itself
     classes = checkpointed(keyed.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("n")))
-    pairs = candidate_pairs(classes.select("id", "unit"), least_count(cosine))
+    bits = cell_bits(classes.count())
+    pairs = candidate_pairs(classes.select("id", "unit"), tables_for(bits, cosine), bits)
     left = classes.select(F.col("id").alias("a"), F.col("unit").alias("ua"))
     right = classes.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
     links = checkpointed(pairs.join(left, "a").join(right, "b").where(F.size("ua") == F.size("ub")).mapInPandas(_cosines, "a bigint, b bigint, cosine double").where(F.col("cosine") >= cosine))
