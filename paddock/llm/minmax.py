@@ -21,7 +21,7 @@ from paddock.llm.components import components
 PERMUTATIONS = 64
 BAND_PERMUTATIONS = 2
 PERCENT = 75
-STAR_ROUNDS = 2
+SMALL = 24
 _draw = np.random.default_rng(20240607)
 _FACTOR = _draw.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _SHIFT = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -78,73 +78,87 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity; only texts of the pairs are read into sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = checkpointed(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>"))
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    # only pairs whose sizes allow the similarity are intersected
-    fits = F.least(F.size("sa"), F.size("sb")) * 100 >= percent * F.greatest(F.size("sa"), F.size("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a").join(right, "b").where(fits).withColumn("common", common)
-        .where(F.col("common") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+def _sized(members: DataFrame) -> DataFrame:
+    """(bucket, rep, n): members of buckets that hold at least two."""
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return checkpointed(members.join(counts.hint("merge"), "bucket"))
+
+
+def _comparisons(sized: DataFrame) -> DataFrame:
+    """Distinct (centre, rep, star): what to compare. Members of larger buckets meet the bucket's
+    centre, the one that meets most others; those of buckets of at most SMALL meet each other."""
+    small = sized.where(F.col("n") <= SMALL).select("bucket", "rep")
+    pairs = small.join(small.withColumnRenamed("rep", "centre").hint("merge"), "bucket").where("rep > centre").select("centre", "rep").distinct()
+    large = sized.where(F.col("n") > SMALL)
+    meets = large.groupBy("rep").agg(F.sum("n").alias("meets"))
+    best = large.join(meets.hint("merge"), "rep").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("back"))).alias("best"))
+    stars = large.join(best.select("bucket", (-F.col("best.back")).alias("centre")).hint("merge"), "bucket").where("rep <> centre").select("centre", "rep").distinct()
+    return pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
+
+
+def _overlaps(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """The comparisons with both set sizes, what the full sets share, and for stars what the centre lacks."""
+    mine = sets.select(F.col("id").alias("rep"), F.col("shingles").alias("s"))
+    middle = sets.select(F.col("id").alias("centre"), F.col("shingles").alias("c"))
+    counts = [F.size("s").alias("n"), F.size("c").alias("nc"), F.size(F.array_intersect("s", "c")).alias("common")]
+    extra = F.when(F.col("star"), F.array_except("s", "c")).alias("extra")
+    return wanted.join(mine.hint("merge"), "rep").join(middle.hint("merge"), "centre").select("centre", "rep", "star", *counts, extra)
+
+
+def _open_buckets(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Buckets (bucket, rep) of what may still link across components around each centre c.
+
+    |x & y| is at most min(|x & c|, |y & c|) unless x and y share a shingle that c lacks. So a pair
+    is left only if it shares such a shingle, which makes a bucket, or if that minimum suffices.
+    """
+    mine = label.select(F.col("node").alias("rep"), "component")
+    theirs = label.select(F.col("node").alias("centre"), F.col("component").alias("middle"))
+    placed = stars.join(mine.hint("merge"), "rep", "left").join(theirs.hint("merge"), "centre", "left")
+    placed = placed.withColumns({"component": F.coalesce("component", "rep"), "middle": F.coalesce("middle", "centre")})
+    apart = placed.groupBy("centre").agg(F.max(F.col("component") != F.col("middle")).alias("apart"), F.min("n").alias("least")).where("apart")
+    placed = checkpointed(placed.join(apart.select("centre", "least").hint("merge"), "centre"))
+    enough = lambda common, n, m: common * (100 + percent) >= (n + m) * percent
+    near = placed.where(enough(F.col("common"), F.col("n"), F.col("least"))).drop("extra")
+    other = near.select("centre", *[F.col(c).alias(c + "2") for c in ("rep", "n", "common", "component")])
+    pairs = (
+        near.where("component <> middle").join(other.hint("merge"), "centre")
+        .where((F.col("component") != F.col("component2")) & enough(F.least("common", "common2"), F.col("n"), F.col("n2")))
+        .select(F.xxhash64(F.least("rep", "rep2"), F.greatest("rep", "rep2"), F.lit("pair")).alias("bucket"), F.explode(F.array("rep", "rep2")).alias("rep"))
     )
+    extra = placed.select("centre", "rep", "component", F.explode("extra").alias("shingle")).select(F.xxhash64("centre", "shingle").alias("bucket"), "rep", "component")
+    across = extra.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return pairs.unionByName(extra.join(across.hint("merge"), "bucket").select("bucket", "rep")).distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of (doc_id, text).
 
     Texts with the same set are one class, whose smallest id stands for it. The members of a
-    band's bucket are compared with one member; buckets that still hold several components are
-    compared with another member, and what is left pair by pair between components, so no link
-    is lost and no group of copies is expanded into all pairs. Empty and null texts link with
-    nothing. Rows without an id link with nothing, have no component and are not kept; rows
-    that repeat an id count as one document. Other columns are not looked at.
+    band's bucket are compared with its centre, or with each other if they are a few; what may
+    still link between components shares a shingle that the centre lacks (a bucket of the next
+    round) or is close enough to it, so no link is lost and no group of copies is expanded into
+    all pairs. Rounds end when no bucket is left. Empty and null texts link with nothing. Rows without an id link with nothing, have no
+    component and are not kept; of an id that repeats with several texts one stands for the id.
+    An empty table gives no rows; other columns are not looked at.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
     signed = checkpointed(texts.mapInArrow(_signatures, schema))
     classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = checkpointed(buckets.join(shared, ["band", "value"]))
-    # a document may have an id that another row repeats; both stand for the same node
-    label = members.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct()
-    links = tried = None
-    for step in range(STAR_ROUNDS + 1):
-        placed = members.join(label, members["rep"] == label["node"]).select("band", "value", "rep", "component")
-        mixed = placed.groupBy("band", "value").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(step)), "rep", "component")).alias("middle")
-        ).where("low <> high")
-        if step < STAR_ROUNDS:
-            pairs = (
-                placed.join(mixed, ["band", "value"]).where("component <> middle.component")
-                .select(F.greatest("rep", "middle.rep").alias("a"), F.least("rep", "middle.rep").alias("b"))
-            )
-        else:
-            open_rows = placed.join(mixed.select("band", "value"), ["band", "value"])
-            parts = open_rows.select("band", "value", "component").distinct()
-            across = parts.join(parts.withColumnRenamed("component", "other"), ["band", "value"]).where("component < other")
-            others = open_rows.withColumnsRenamed({"rep": "rep2", "component": "other"})
-            pairs = (
-                across.join(open_rows, ["band", "value", "component"]).join(others, ["band", "value", "other"])
-                .select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))
-            )
-        pairs = pairs.where("a <> b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = checkpointed(_confirm(pairs, texts, percent))
+    buckets = classes.select("rep", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "rep")
+    sized = _sized(buckets)
+    wanted = sized.select(F.col("rep").alias("doc_id")).distinct()
+    sets = checkpointed(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>").dropDuplicates(["id"]))
+    label, links = documents.sparkSession.createDataFrame([], "node bigint, component bigint"), None
+    while not sized.isEmpty():
+        compared = checkpointed(_overlaps(_comparisons(sized), sets))
+        found = compared.where(F.col("common") * 100 >= percent * (F.col("n") + F.col("nc") - F.col("common"))).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
         links = found if links is None else links.unionByName(found)
-        label = checkpointed(
-            members.select(F.col("rep").alias("node")).distinct().join(components(links), "node", "left")
-            .select("node", F.coalesce("component", "node").alias("component"))
-        )
+        label = components(links)
+        stars = compared.where("star").drop("star")
+        if stars.isEmpty():
+            break
+        sized = _sized(_open_buckets(stars, label, percent))
     of_class = classes.select("set_key", "rep").join(label, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("found"))
     return (
         signed.drop("bands").join(of_class, "set_key", "left")
