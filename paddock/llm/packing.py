@@ -1,12 +1,13 @@
 """Packing of tokenized documents into sequences by cutting-stock column generation.
 
-Every document is cut into full sequences and one remainder. Remainder lengths are counted in
-units of UNIT tokens, rounded up; this histogram (at most CAPACITY / UNIT numbers, whatever the
-corpus) is the demand of a cutting-stock problem. Its linear program is solved by column
-generation: a knapsack dynamic programme over exact totals prices new patterns, a revised
-simplex with an explicit inverse takes them in. The rounded-down patterns and a best fit of what
-rounding leaves say how many sequences hold which sizes; the remainders are ranked within their
-size and take their places by rank.
+Every document is cut into full sequences and one remainder. Remainders are counted by length;
+this histogram (at most CAPACITY - 1 numbers, whatever the corpus) is the demand of a
+cutting-stock problem. Its linear program is solved by column generation: a knapsack dynamic
+programme over exact totals prices new patterns, a revised simplex with an explicit inverse takes
+them in. The program counts in units of 1 / UNITS of a sequence, rounded up. Its patterns are
+carried out in true lengths: what the units leave free takes further remainders, the largest that
+fit, and a best fit places what rounding leaves. Where best fit alone needs fewer sequences, it is
+taken. The remainders are ranked within their length and take their places by rank.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from paddock.llm.common import checkpointed, shuffle_partitions
 
 CAPACITY = 1024
 CACHE_CHUNKS = 200_000
-UNIT = 8
+UNITS = 128
 MAX_PRICINGS = 400
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -198,36 +199,73 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np
     return list(zip(basis, x))
 
 
-def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Sequences for what rounding left: each takes the largest, then the largest that still fits."""
+def _fill(sizes: np.ndarray, left: np.ndarray, taken: np.ndarray, room: int) -> np.ndarray:
+    """The pattern with what still fits beside it, the largest first."""
+    taken = taken.copy()
+    spare = left - taken
+    top = int(np.searchsorted(sizes, room, "right"))
+    while top:
+        held = np.flatnonzero(spare[:top])
+        if not len(held):
+            break
+        i = int(held[-1])
+        count = min(int(spare[i]), room // int(sizes[i]))
+        taken[i] += count
+        room -= count * int(sizes[i])
+        top = min(i, int(np.searchsorted(sizes, room, "right")))
+    return taken
+
+
+def _carry_out(patterns: list[tuple[np.ndarray, int]], sizes: np.ndarray, left: np.ndarray, first: np.ndarray, capacity: int, refill: bool) -> list[tuple[int, dict[int, int]]]:
+    """(times, {size: pieces}) that follow patterns of classes, each of the sizes from `first` on, as
+    long as there are pieces; then sequences without a pattern. With `refill` the smallest piece of
+    a pattern gives way to those that fit best."""
     left, out = left.copy(), []
+    ends = np.append(first[1:], len(sizes))
+
+    def use(taken: np.ndarray, most: int) -> int:
+        held = np.flatnonzero(taken)
+        times = min(most, int((left[held] // taken[held]).min()))
+        left[held] -= times * taken[held]
+        out.append((times, {int(sizes[i]): int(taken[i]) for i in held}))
+        return times
+
+    for wanted, todo in patterns:
+        while todo:
+            taken = np.zeros(len(sizes), dtype=np.int64)
+            for c in np.flatnonzero(wanted):
+                need = int(wanted[c])
+                for i in range(int(ends[c]) - 1, int(first[c]) - 1, -1):
+                    taken[i] = min(need, int(left[i]))
+                    need -= int(taken[i])
+            held = np.flatnonzero(taken)
+            if not len(held):  # sequences before took them all
+                break
+            if refill:
+                taken[held[0]] -= taken.sum() > 1
+                taken = _fill(sizes, left, taken, capacity - int(taken @ sizes))
+            todo -= use(taken, todo)
     while left.any():
-        room, taken = capacity, {}
-        for i in range(len(sizes) - 1, -1, -1):
-            count = min(int(left[i]), room // int(sizes[i]))
-            if count:
-                taken[int(sizes[i])] = count
-                left[i] -= count
-                room -= count * int(sizes[i])
-        out.append(taken)
+        use(_fill(sizes, left, np.zeros(len(sizes), dtype=np.int64), capacity), int(left.sum()))
     return out
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(times, {size: pieces}) of all sequences for the remainders counted by size."""
+    """(times, {size: pieces}) of all sequences for the remainders counted by size.
+
+    Of the program's patterns as they are, the same refilled, and best fit alone, the one with the
+    fewest sequences.
+    """
     if not histogram:
         return []
     sizes = np.array(sorted(histogram), dtype=np.int64)
     left = np.array([histogram[int(n)] for n in sizes], dtype=np.int64)
-    out = []
-    for column, x in sorted(solve(sizes, left, capacity), key=lambda p: -p[1]):
-        column = column.astype(np.int64)
-        held = column > 0
-        times = min(int(x + 1e-6), int((left[held] // column[held]).min()))
-        if times:
-            left -= times * column
-            out.append((times, {int(sizes[i]): int(column[i]) for i in np.flatnonzero(held)}))
-    return out + [(1, taken) for taken in best_fit(sizes, left, capacity)]
+    unit = max(1, capacity // UNITS)
+    classes, first = np.unique(-(-sizes // unit), return_index=True)
+    used = solve(classes, np.add.reduceat(left, first), capacity // unit)
+    patterns = [(column.astype(np.int64), int(x + 1e-6)) for column, x in sorted(used, key=lambda p: -p[1])]
+    ways = ((patterns, False), (patterns, True), ([], False))
+    return min((_carry_out(p, sizes, left, first, capacity, refill) for p, refill in ways), key=lambda plan: sum(times for times, _ in plan))
 
 
 def places(patterns: list[tuple[int, dict[int, int]]]) -> pd.DataFrame:
@@ -264,20 +302,20 @@ def _ranked(pieces: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
+def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of every row of (doc_id, text): doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id and offset.
 
     Null and empty texts are the single id 0. Rows without an id and rows that repeat one are
     packed like any other. An empty table gives no rows; other columns are not looked at.
     """
-    pieces = checkpointed(cut_documents(documents, tokenizer, capacity)).withColumn("size", F.ceil(F.col("length") / unit))
+    pieces = checkpointed(cut_documents(documents, tokenizer, capacity)).withColumn("size", F.col("length"))
     parts = pieces.where(F.col("length") < capacity)
-    histogram = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity / unit rows
-    patterns = plan(histogram, capacity // unit)
+    histogram = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # fewer than capacity rows
+    patterns = plan(histogram, capacity)
     where = spark.createDataFrame(places(patterns).astype("int64"), "size bigint, first_rank bigint, end_rank bigint, count bigint, first_sequence bigint")
     ranked = _ranked(pieces.withColumn("size", F.when(F.col("length") < capacity, F.col("size")).otherwise(F.lit(0))), shuffle_partitions(spark))
-    # the places are bounded by the classes: one pattern for each in the program, about as many left over
+    # the places are bounded by the lengths, not by the rows
     packed = ranked.join(F.broadcast(where), "size").where("rank >= first_rank AND rank < end_rank")
     packed = packed.withColumn("sequence_id", F.col("first_sequence") + F.floor((F.col("rank") - F.col("first_rank")) / F.col("count")))
     # a sequence holds at most `capacity` pieces

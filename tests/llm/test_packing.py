@@ -63,6 +63,29 @@ def test_one_length_for_many(spark, documents):
     assert sequences <= -(-tokens // 1024) + 1 + tokens // 200
 
 
+def test_short_texts_leave_no_padding(spark, documents, sentence):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, "", "same", "same words again"]), "en", "s", 0) for i in range(3000)]
+    rows += [(3000 + i, sentence(rng, rng.randint(100, 400)), "en", "s", 0) for i in range(60)]
+    sequences, tokens = check(rows, packing.pack(spark, documents(rows), PATH).collect())
+    assert sequences <= -(-tokens // 1024) + 1
+
+
+@pytest.mark.parametrize("kind", ["short", "mixed", "long", "one"])
+def test_plan_wastes_little(kind):
+    rng = np.random.default_rng(4)
+    lengths = {"short": rng.integers(1, 10, 50000), "one": np.full(50000, 4), "long": rng.lognormal(5.7, 0.6, 50000).astype(int) % 1023 + 1}
+    lengths["mixed"] = np.append(lengths["long"], lengths["short"][:25000])
+    demand = {int(s): int(n) for s, n in zip(*np.unique(lengths[kind], return_counts=True))}
+    plan, used = packing.plan(demand, 1024), {}
+    for times, taken in plan:
+        assert times > 0 and sum(s * n for s, n in taken.items()) <= 1024
+        for s, n in taken.items():
+            used[s] = used.get(s, 0) + times * n
+    assert used == demand
+    assert sum(times for times, _ in plan) <= 1.005 * lengths[kind].sum() / 1024 + 1
+
+
 def test_empty_table(spark, documents):
     assert packing.pack(spark, documents([]), PATH).collect() == []
 
