@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from paddock.llm.common import text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
+DECODE_CELLS = 200_000
 LABELS = ("O", "email", "ip", "B-card", "I-card", "B-phone", "I-phone")
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
 TRAINED = "spans array<struct<kind:string,start:bigint,end:bigint>>"
@@ -155,19 +156,18 @@ def _bucket(n: int) -> str:
     return next((f"<={b}" for b in (0, 2, 3, 4, 6, 9, 10, 12, 13, 15, 16, 19) if n <= b), ">19")
 
 
-def features(run: list[tuple[int, int, str, str]], text: str) -> list[list[str]]:
-    out = []
+def features(run: list[tuple[int, int, str, str]], text: str) -> Iterator[list[str]]:
+    """Names of what holds at each token, one token at a time: those of a long run are many."""
     for a, b, before, after in run:
         core = text[a:b].rstrip(".,;:!?\"'")
         number = digits(core)
         forms = [shape(core), "prev " + shape(before.rstrip(".,;:!?\"'")), "next " + shape(after.rstrip(".,;:!?\"'"))]
         mixed = bool(re.search("[^\\W\\d_]", core))
         marks = "".join(sorted(set(re.sub(r"[\w]", "", core))))[:8]
-        out.append(
+        yield (
             ["1", *forms, f"n {_bucket(len(number))}", f"marks {marks}", f"mixed {mixed} {_bucket(len(number))}", f"mixed {mixed} {marks}", f"luhn {len(number) >= 14 and luhn(number)} {mixed}"]
             + [f"word {before.lower()[:12]}", f"pair {forms[1]} {shape(core)}", f"after {shape(core)} {forms[2]}"]
         )
-    return out
 
 
 class Field:
@@ -176,24 +176,27 @@ class Field:
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
 
-    def scores(self, runs: list[list[list[str]]]) -> np.ndarray:
-        """Emission scores, padded to the longest run: (runs, tokens, labels)."""
-        out = np.zeros((len(runs), max(map(len, runs)), len(LABELS)))
-        for i, run in enumerate(runs):
-            for t, names in enumerate(run):
-                known = [self.index[n] for n in names if n in self.index]
-                out[i, t] = self.emit[known].sum(axis=0)
+    def scores(self, run: Iterable[list[str]], tokens: int) -> np.ndarray:
+        """Emission scores of one run: (tokens, labels)."""
+        out = np.zeros((tokens, len(LABELS)))
+        for t, names in enumerate(run):
+            known = [self.index[n] for n in names if n in self.index]
+            out[t] = self.emit[known].sum(axis=0)
         return out
 
     def decode(self, runs: list[list[list[str]]]) -> list[list[int]]:
-        """Best labels of every run; runs of like length are decoded together."""
-        best: list[list[int]] = [[] for _ in runs]
-        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
-        for k in range(0, len(order), 256):
-            part = order[k : k + 256]
-            emit = self.scores([runs[i] for i in part])
-            total, back = emit[:, 0] + self.move[-1], np.zeros(emit.shape, dtype=np.int64)
-            lengths = np.array([len(runs[i]) for i in part])
+        """Best labels of every run."""
+        return self.best([self.scores(run, len(run)) for run in runs])
+
+    def best(self, scores: list[np.ndarray]) -> list[list[int]]:
+        """Best labels by the emission scores of every run; runs of like length are decoded together."""
+        best: list[list[int]] = [[] for _ in scores]
+        for part in decode_parts([len(s) for s in scores]):
+            lengths = np.array([len(scores[i]) for i in part])
+            emit = np.zeros((len(part), int(lengths.max()), len(LABELS)))
+            for row, i in enumerate(part):
+                emit[row, : len(scores[i])] = scores[i]
+            total, back = emit[:, 0] + self.move[-1], np.zeros(emit.shape, dtype=np.int8)
             finals = total.copy()
             for t in range(1, emit.shape[1]):
                 ways = total[:, :, None] + self.move[None, :-1]
@@ -203,12 +206,25 @@ class Field:
             label = finals.argmax(axis=1)
             for row, i in enumerate(part):
                 path = [int(label[row])]
-                for t in range(len(runs[i]) - 1, 0, -1):
+                for t in range(len(scores[i]) - 1, 0, -1):
                     path.append(int(back[row, t, path[-1]]))
                 best[i] = path[::-1]
         return best
 
 
+def decode_parts(lengths: list[int], cells: int = DECODE_CELLS) -> Iterator[list[int]]:
+    """Runs to decode together, of like length: no part is padded to more than `cells` tokens but
+    one run that is longer, which is alone."""
+    part: list[int] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if part and (len(part) + 1) * lengths[i] > cells:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
 def labelled_runs(lines: list[str]) -> tuple[list[list[list[str]]], list[list[int]]]:
     """Features and labels of the runs of marked lines."""
     runs, gold = [], []
@@ -220,7 +236,7 @@ def labelled_runs(lines: list[str]) -> tuple[list[list[list[str]]], list[list[in
             text, at = text + m.group(2), m.end()
         text += line[at:]
         for run in token_runs(text):
-            runs.append(features(run, text))
+            runs.append(list(features(run, text)))
             labels = []
             for a, b, _, _ in run:
                 kind, first = next(((k, a <= s) for s, e, k in marks if a < e and b > s), ("O", True))
@@ -321,7 +337,7 @@ def find_batch(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
     runs = [(i, run) for i, t in enumerate(texts) for run in token_runs(t)]
-    labels = field.decode([features(run, texts[i]) for i, run in runs])
+    labels = field.best([field.scores(features(run, texts[i]), len(run)) for i, run in runs])
     added: list[list] = [[] for _ in texts]
     for (i, run), path in zip(runs, labels):
         added[i] += added_spans(texts[i], run, path, base[i])

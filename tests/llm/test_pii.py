@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -71,6 +72,23 @@ def test_labelled_lines_are_learned(field):
     assert sum(a == b for a, b in zip(field.decode(runs), gold)) >= 0.98 * len(gold)
 
 
+def test_long_run_among_others_is_decoded_in_bounded_memory(field):
+    texts = ["7 " * 50_000 + "+1 (269) 555-3296 4111111111111111", *[f"call {i} or 212-555-01{i % 90 + 10} now" for i in range(300)]]
+    tracemalloc.start()
+    got = pii.find_batch(texts, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # padded to the longest in parts of 256 runs it was 542 MB
+    assert got == [pii.find_batch([t], field)[0] for t in texts]
+
+
+def test_decode_parts_are_bounded():
+    lengths = [3, 500, 1, 40, 7, 7, 90, 2]
+    parts = list(pii.decode_parts(lengths, cells=100))
+    assert sorted(i for p in parts for i in p) == list(range(len(lengths)))
+    assert all(len(p) == 1 or len(p) * max(lengths[i] for i in p) <= 100 for p in parts)
+
+
 def test_operator_rows(documents, edges, one_each):
     rows = edges + [(1, "mail a.b@c.de or 10.0.0.1", "en", "s", 0)]
     got = pii.find_personal_data(documents(rows))
