@@ -2,7 +2,8 @@
 
 Each permutation of the 64-bit words gives two signature values per set, its minimum and its
 maximum, so 64 evaluations give 128 values in 32 bands of four. Two sets with similarity 0.75
-share no band with a chance below 1e-5. What shares a band is confirmed on the full sets.
+share no band with a chance of 5e-6 if they are large, more if small: with 3 of 4 shingles in common
+1.0e-4, with 6 of 8 2.0e-5, with 9 of 12 1.2e-5. What shares a band is confirmed on the full sets.
 """
 
 from __future__ import annotations
