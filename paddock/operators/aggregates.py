@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.market import CWT_PER_HEAD
-from paddock.functions.numeric import mean, round_even, total
+from paddock.functions.numeric import mean, round_even, to_units, total
 from paddock.operators.joins import not_null, with_scalars
 from paddock.operators.timeline import global_rank
 
@@ -46,6 +46,19 @@ def ranked_advantage(
     return lowest.withColumn(advantage, lead if digits is None else round_even(lead, digits)).drop("__lowest")
 
 
+def deviation(value: Column, scale: int | None = None) -> Column:
+    """Sample standard deviation, null below two values. With a scale it comes from whole units, as
+    exact decimals, so it has the same digits for any order and partitioning."""
+    if scale is None:
+        return F.stddev_samp(value)
+    units = to_units(value, scale).cast("decimal(19,0)")
+    n, exact = F.count(value), lambda c: c.cast("decimal(38,0)")
+    squares = exact(F.sum(exact(units * units)))
+    first = exact(F.sum(units))
+    spread = exact(exact(n) * squares) - exact(first * first)
+    return F.when(n > 1, F.sqrt(spread.cast("double") / (n.cast("double") * (n - 1).cast("double"))) / float(10**scale))
+
+
 def seasonal_profile(
     df: DataFrame, date: str, value: str, *, with_std: bool = False, scale: int | None = None
 ) -> DataFrame:
@@ -56,7 +69,7 @@ def seasonal_profile(
         F.max(value).alias("max_price"),
     ]
     if with_std:
-        aggs.append(F.stddev_samp(value).alias("std_price"))
+        aggs.append(deviation(F.col(value), scale).alias("std_price"))
     return df.where(F.col(date).isNotNull()).groupBy(F.month(date).alias("month")).agg(*aggs)
 
 

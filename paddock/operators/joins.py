@@ -60,6 +60,18 @@ def latest_by_key(
     return _edge_by_key(df, keys, order, columns, F.max_by)
 
 
+def first_and_last_by_key(
+    df: DataFrame, keys: list[str], order: Sequence[str | Column], first: dict[str, Column], last: dict[str, Column]
+) -> DataFrame:
+    """Columns of the row with the lowest and of that with the highest ordering of each key, in one
+    aggregate (null keys are left out)."""
+    rows = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    payload = lambda columns: F.struct(*[c.alias(n) for n, c in columns.items()])
+    place = F.struct(*order)
+    both = rows.groupBy(*keys).agg(F.min_by(payload(first), place).alias("__first"), F.max_by(payload(last), place).alias("__last"))
+    return both.select(*keys, "__first.*", "__last.*")
+
+
 def _edge_by_key(df, keys, order, columns, pick) -> DataFrame:
     rows = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     payload = F.struct(*[c.alias(n) for n, c in columns.items()])
@@ -199,34 +211,54 @@ def nearest_value(
     )
 
 
-# Statistics of range_stats: name -> (day state columns, merged value).
-def _day_states(name: str, kind: str, value: Column, scale: int | None) -> dict[str, Column]:
-    summed = to_units(value, scale)
-    if kind == "count":
-        return {f"{name}__n": F.count(value)}
-    if kind == "count_if":
-        return {f"{name}__n": F.count_if(flag(value))}
-    if kind == "sum":
-        return {f"{name}__s": F.sum(summed)}
-    if kind == "avg":
-        return {f"{name}__s": F.sum(summed), f"{name}__n": F.count(value)}
-    if kind in ("min", "max"):
-        return {f"{name}__x": getattr(F, kind)(value)}
-    if kind == "names":
-        return {f"{name}__x": F.collect_set(value)}
-    raise ValueError(f"unknown statistic {kind}")
-
-
-def _merged(name: str, kind: str, scale: int | None) -> Column:
-    if kind in ("count", "count_if"):
-        return F.sum(f"{name}__n")
-    if kind == "sum":
-        return from_units(F.sum(f"{name}__s"), scale)
-    if kind == "avg":
-        return from_units(F.sum(f"{name}__s"), scale) / F.nullif(F.sum(f"{name}__n"), F.lit(0))
-    if kind in ("min", "max"):
-        return getattr(F, kind)(f"{name}__x")
-    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"{name}__x")))), ", ")
+TOP_LEVEL = 22  # blocks of 2 ** 22 days hold every date
+
+
+def _cover(low: Column, high: Column) -> Column:
+    """The days from low to high as at most two blocks of 2 ** level days a level: array of (level, at),
+    where block `at` of a level holds the days whose number shifted right by the level is `at`."""
+    low, high = F.unix_date(low).cast("bigint"), F.unix_date(high).cast("bigint") + 1
+    block = lambda level, at: F.array(F.struct(level.alias("level"), at.alias("at")))
+    none = F.array().cast("array<struct<level:int,at:bigint>>")
+
+    def step(state: Column, level: Column) -> Column:
+        odd_low, odd_high = state["low"] % 2 != 0, state["high"] % 2 != 0
+        found = F.concat(state["found"], F.when(odd_low, block(level, state["low"])).otherwise(none), F.when(odd_high, block(level, state["high"] - 1)).otherwise(none))
+        half = lambda c: F.shiftright(c, 1)
+        inner = F.struct(
+            half(state["low"] + odd_low.cast("bigint")).alias("low"), half(state["high"] - odd_high.cast("bigint")).alias("high"), found.alias("found")
+        )
+        return F.when(state["low"] < state["high"], inner).otherwise(state)
+
+    start = F.struct(low.alias("low"), high.alias("high"), none.alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TOP_LEVEL)), start, step, lambda state: state["found"])
+
+
+def _in_blocks(days: DataFrame, distinct: DataFrame, by: list[str], low: str, high: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of `days` at every level the longest span has, and the spans cut into their blocks."""
+    longest = distinct.agg(F.coalesce(F.floor(F.log2(F.max(F.datediff(high, low)) + 1)).cast("int"), F.lit(0))).scalar()
+    levels = days.withColumn("level", F.explode(F.sequence(F.lit(0), longest))).withColumn("at", F.expr("shiftright(cast(__day AS bigint), level)")).drop("__day")
+    pieces = distinct.select(*by, low, high, F.inline(_cover(F.col(low), F.col(high))))
+    return levels, pieces
+
+
+def _range_sums(distinct: DataFrame, days: DataFrame, by: list[str], low: str, high: str, states: list[str]) -> DataFrame:
+    """Sums of the day states inside each span, as differences of running totals read at its ends.
+
+    Days and span ends lie on one line per key, which has a few rows a day of the calendar at most."""
+    ends = distinct.select(*by, F.explode(F.array(F.date_sub(low, 1), F.col(high))).alias("__end")).distinct().select(*by, F.unix_date("__end").alias("__day"), F.lit(True).alias("__is_end"))
+    line = days.select(*by, "__day", *states).unionByName(ends, allowMissingColumns=True)
+    past = Window.partitionBy(*by).orderBy("__day", F.col("__is_end").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    read = line.withColumns({s: F.coalesce(F.sum(s).over(past), F.lit(0)) for s in states}).where("__is_end").drop("__is_end")
+
+    def at(end: str, day: Column) -> tuple[DataFrame, list]:
+        named = read.select(*[F.col(c).alias(f"{end}_{c}") for c in (*by, "__day")], *[F.col(s).alias(f"{s}_{end}") for s in states])
+        return named, [F.col(c) == F.col(f"{end}_{c}") for c in by] + [F.unix_date(day) == F.col(f"{end}___day")]
+
+    before, before_on = at("before", F.date_sub(low, 1))
+    last, last_on = at("last", F.col(high))
+    joined = distinct.join(before, before_on).join(last, last_on)
+    return joined.select(*by, low, high, *[(F.col(f"{s}_last") - F.col(f"{s}_before")).alias(s) for s in states])
 
 
 def range_stats(
@@ -239,44 +271,64 @@ def range_stats(
     *,
     by: Sequence[str] = (),
     how: str = "left",
-    bucket_days: int = 28,
 ) -> DataFrame:
     """Statistics of the series rows dated inside each span, both ends included.
 
     ``stats`` maps a name to (kind, column) or (kind, column, scale); kinds are count,
-    count_if, sum, avg, min, max and names (sorted distinct texts of a short list of
-    names). A span without rows keeps counts of 0 and null for the rest; ``how="inner"``
-    leaves it out. ``by`` adds equality keys, such as site and barn.
-
-    The series is first reduced to one row per (by, day), and equal spans are measured
-    once. Spans are cut into time buckets, so the join is an equi-join on (by, bucket)
-    with the range as a residual filter, also when there is no other key."""
+    count_if, sum, avg, min, max and names (sorted distinct texts). A span without rows keeps
+    counts of 0 and null for the rest; ``how="inner"`` leaves it out. ``by`` adds equality keys,
+    such as site and barn.
+
+    The series is first reduced to one row per (by, day), and equal spans are measured once.
+    Counts and sums are differences of running totals at the span's ends, in whole units where a
+    scale is given. Without one, infinite and missing numbers make the sums they lie in NaN. Lowest and
+    highest values and names are kept by blocks of a power of two of days, of which a span has at
+    most two a level. So the work does not grow with the days of a span."""
     by = list(by)
     spec = {n: (s[0], s[1], s[2] if len(s) > 2 else None) for n, s in stats.items()}
-    states: dict[str, Column] = {}
+    dated = series.where(F.col(on).isNotNull()).withColumn("__day", F.unix_date(on))
+    sums: dict[str, Column] = {"__rows": F.count(F.lit(1))}
+    edges: dict[str, Column] = {}
     for n, (kind, value, scale) in spec.items():
-        states |= _day_states(n, kind, value, scale)
-    days = (
-        series.where(F.col(on).isNotNull())
-        .groupBy(*by, F.col(on).alias("__day"))
-        .agg(*[c.alias(n) for n, c in states.items()])
-        .withColumn("__bucket", F.floor(F.unix_date("__day") / bucket_days))
-    )
-    first, last = (F.floor(F.unix_date(c) / bucket_days) for c in (low, high))
+        if kind == "count":
+            sums[f"{n}__n"] = F.count(value)
+        elif kind == "count_if":
+            sums[f"{n}__n"] = F.count_if(flag(value))
+        elif kind in ("sum", "avg"):
+            units = to_units(value, scale)
+            whole = F.lit(True) if scale is not None else F.abs(units) < float("inf")
+            sums |= {f"{n}__s": F.sum(F.when(whole, units)), f"{n}__n": F.count(value), f"{n}__w": F.count_if(~whole)}
+        elif kind in ("min", "max"):
+            edges[n] = getattr(F, kind)(value)
+        elif kind != "names":
+            raise ValueError(f"unknown statistic {kind}")
+    days = dated.groupBy(*by, "__day").agg(*[c.alias(n) for n, c in (sums | edges).items()])
     distinct = spans.where(F.col(low) <= F.col(high)).select(*by, low, high).distinct()
-    pieces = distinct.withColumn("__bucket", F.explode(F.sequence(first, last)))
-    measured = (
-        pieces.join(days if by else F.broadcast(days), [*by, "__bucket"])
-        .where(F.col("__day").between(F.col(low), F.col(high)))
-        .groupBy(*by, low, high)
-        .agg(*[_merged(n, s[0], s[2]).alias(n) for n, s in spec.items()])
-    )
-    joined = spans.join(measured, [*by, low, high], how)
-    counted = [n for n, s in spec.items() if s[0].startswith("count")]
-    return joined.select(
-        *spans.columns,
-        *[F.coalesce(F.col(n), F.lit(0)).alias(n) if n in counted else F.col(n) for n in spec],
-    )
+    keys = [*by, low, high]
+    measured = _range_sums(distinct, days, by, low, high, list(sums)).where("__rows > 0")
+    if edges:
+        levels, pieces = _in_blocks(days.select(*by, "__day", *edges), distinct, by, low, high)
+        pick = {n: getattr(F, spec[n][0]) for n in edges}
+        blocks = levels.groupBy(*by, "level", "at").agg(*[f(n).alias(n) for n, f in pick.items()])
+        found = pieces.join(blocks, [*by, "level", "at"]).groupBy(*keys).agg(*[f(n).alias(n) for n, f in pick.items()])
+        measured = measured.join(found, keys, "left")
+    for n, (kind, value, _) in spec.items():
+        if kind == "names":
+            levels, pieces = _in_blocks(dated.select(*by, "__day", value.alias(n)).where(F.col(n).isNotNull()).distinct(), distinct, by, low, high)
+            each = pieces.join(levels.distinct(), [*by, "level", "at"]).select(*keys, n).distinct()
+            text = F.array_join(F.sort_array(F.collect_list(n)), ", ")
+            measured = measured.join(each.groupBy(*keys).agg(text.alias(n)), keys, "left")
+
+    def result(n: str) -> Column:
+        kind, _, scale = spec[n]
+        if kind.startswith("count"):
+            return F.coalesce(f"{n}__n", F.lit(0)).alias(n)
+        if kind in ("sum", "avg"):
+            known = F.when(F.col(f"{n}__n") > 0, F.when(F.col(f"{n}__w") > 0, F.lit(float("nan"))).otherwise(from_units(F.col(f"{n}__s"), scale)))
+            return (known if kind == "sum" else known / F.nullif(f"{n}__n", F.lit(0))).alias(n)
+        return F.when(F.col("__rows") > 0, F.coalesce(n, F.lit(""))).alias(n) if kind == "names" else F.col(n)
+
+    return spans.join(measured, keys, how).select(*spans.columns, *[result(n) for n in spec])
 
 
 def period_benchmark(

@@ -307,6 +307,11 @@ def sums_to(total: Column, parts: Sequence[Column], tolerance: float) -> Column:
     return F.abs(total - sum(parts[1:], parts[0])) <= tolerance
 
 
+def product_of(total: Column, quantity: Column, unit: Column, tolerance: float) -> Column:
+    """Row predicate: quantity times unit gives the total within a tolerance."""
+    return F.abs(total - quantity * unit) <= tolerance
+
+
 def ohlc_bounds(open_: str = "open", high: str = "high", low: str = "low", close: str = "close") -> Column:
     """Row predicate: low is the lowest and high the highest of the four prices."""
     return (F.col(low) <= F.least(open_, close)) & (F.col(high) >= F.greatest(open_, close))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paddock.functions import market as M
@@ -25,7 +25,6 @@ from paddock.functions.numeric import ratio, round_even
 from paddock.operators.aggregates import cost_summary, measures, monthly_totals, ranked_advantage, seasonal_profile
 from paddock.operators.joins import (
     asof_nearest,
-    first_by_key,
     latest_by_key,
     left_join_suffixed,
     nearest_value,
@@ -393,21 +392,43 @@ def packer_ranking(packer: DataFrame, *, digits: int | None = 2, scale: int | No
     return ranked_advantage(combos, "avg_eval_cwt", ["packer", "contract_type"], digits=digits)
 
 
-def daily_close(endpoint: DataFrame, commodity: str, name: str, order: Sequence[str | Column] | None = None) -> DataFrame:
-    """One close per day of a commodity: that of its front contract, the one that expires first,
-    and of equal ones the lowest. ``order`` replaces this order."""
-    rows = endpoint.where(F.col("commodity") == commodity)
-    expiry = contract_expiry(F.col("symbol"))
-    front = list(order) if order else [expiry.isNull(), expiry, F.col("close")]
-    first = first_by_key(rows, ["trading_day"], front, {name: F.col("close")})
-    return first.withColumnRenamed("trading_day", "date")
+NO_EXPIRY = 1_000_000  # sorts after every contract month
 
 
-def feed_cost(endpoint: DataFrame, *, tolerance_days: int = 3, order: Sequence[str | Column] | None = None) -> DataFrame:
-    """Daily feed cost from corn and the soybean meal close nearest in time."""
-    corn = daily_close(endpoint, "ZC", "corn_cents_bu", order)
-    meal = daily_close(endpoint, "ZM", "sbm_usd_ton", order).withColumnRenamed("date", "meal_date")
-    joined = asof_nearest(corn, meal, "date", "meal_date", ["sbm_usd_ton"], tolerance_days=tolerance_days)
+def front_closes(endpoint: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row per trading day with the front closes of several commodities ({commodity: name}).
+
+    The front contract of a day is the one that expires first; of equal ones the lowest close counts.
+    A close of a commodity without rows on a day is null, and so is ``has_<name>`` then. One pass over
+    the table, in aggregates of primitive values: the lowest close per contract month, then that of the first month."""
+    rows = endpoint.where(F.col("commodity").isin(*names) & F.col("trading_day").isNotNull())
+    expiry = F.coalesce(contract_expiry(F.col("symbol")), F.lit(NO_EXPIRY))
+    lowest = rows.groupBy("trading_day", "commodity", expiry.alias("__expiry")).agg(F.min("close").alias("__close"))
+    first = {c: F.when(F.col("commodity") == c, F.col("__expiry")) for c in names}
+    closes = lowest.groupBy(F.col("trading_day").alias("date")).agg(
+        *[F.min_by("__close", first[c]).alias(n) for c, n in names.items()],
+        *[F.bool_or(F.when(F.col("commodity") == c, True)).alias(f"has_{n}") for c, n in names.items()],
+    )
+    return closes
+
+
+def daily_close(endpoint: DataFrame, commodity: str, name: str) -> DataFrame:
+    """One close per day of a commodity: that of its front contract."""
+    return front_closes(endpoint, {commodity: name}).select("date", name)
+
+
+def feed_cost(endpoint: DataFrame, *, tolerance_days: int = 3) -> DataFrame:
+    """Daily feed cost from corn and the soybean meal close nearest in time, of two equally near the earlier.
+
+    Both closes lie on one line of days, as long as the calendar, so no join is needed."""
+    closes = front_closes(endpoint, {"ZC": "corn_cents_bu", "ZM": "sbm_usd_ton"})
+    meal = F.when(F.col("has_sbm_usd_ton"), F.struct("date", "sbm_usd_ton"))
+    reach = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    line = closes.withColumns({"__past": F.last(meal, True).over(reach(F.asc("date"))), "__next": F.last(meal, True).over(reach(F.desc("date")))})
+    days = lambda c: F.abs(F.datediff(F.col("date"), F.col(f"{c}.date")))
+    later = F.col("__past").isNull() | (F.col("__next").isNotNull() & (days("__next") < days("__past")))
+    near = line.where("has_corn_cents_bu").withColumn("__meal", F.when(later, F.col("__next")).otherwise(F.col("__past")))
+    joined = near.select("date", "corn_cents_bu", F.when(days("__meal") <= tolerance_days, F.col("__meal.sbm_usd_ton")).alias("sbm_usd_ton"))
     return (
         joined.withColumn("corn_usd_ton", M.corn_usd_ton(F.col("corn_cents_bu")))
         .withColumn("feed_cost_usd_ton", M.feed_usd_ton(F.col("corn_usd_ton"), F.col("sbm_usd_ton")))
@@ -415,16 +436,9 @@ def feed_cost(endpoint: DataFrame, *, tolerance_days: int = 3, order: Sequence[s
     )
 
 
-def hog_dashboard(
-    endpoint: DataFrame,
-    national: DataFrame,
-    index: DataFrame,
-    *,
-    tolerance_days: int = 3,
-    order: Sequence[str | Column] | None = None,
-) -> DataFrame:
+def hog_dashboard(endpoint: DataFrame, national: DataFrame, index: DataFrame, *, tolerance_days: int = 3) -> DataFrame:
     """Daily hog market: front close, national cash price, index and basis."""
-    front = daily_close(endpoint, "HE", "he_front_close", order)
+    front = daily_close(endpoint, "HE", "he_front_close")
     cash = national.select("report_date", F.col("wtd_avg").alias("national_cash"))
     with_cash = asof_nearest(front, cash, "date", "report_date", ["national_cash"], tolerance_days=tolerance_days)
     both = asof_nearest(

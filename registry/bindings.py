@@ -183,6 +183,8 @@ BINDINGS: dict[str, tuple[str, dict[str, str], str | None]] = {
             "site": "case when o_custkey % 10 = 0 then null else concat('Site ', cast(o_custkey % 3 as string)) end",
             "production_phase": "o_orderpriority",
             "cost_category": "o_orderstatus",
+            "quantity": "cast(o_orderkey % 6 + 1 as double)",
+            "unit_cost": "floor(o_totalprice / (o_orderkey % 6 + 1) * 100) / 100",
             "total_cost": "o_totalprice",
         },
         None,

@@ -442,8 +442,8 @@ ORACLES["q_seasonal"] = sql(
     "endpoint",
     f"""
     SELECT month(trading_day) AS month, {mean("close")} AS avg_price, min(close) AS min_price, max(close) AS max_price,
-      round(stddev_samp(close), 6) AS std_price
-    FROM endpoint WHERE commodity = 'HE' GROUP BY 1""",
+      case when count(close) > 1 then sqrt(cast(count(close) * sum(u * u) - sum(u) * sum(u) as double) / (cast(count(close) as double) * (count(close) - 1))) / 100::double end AS std_price
+    FROM (SELECT *, cast(round_even(close * 100, 0) as hugeint) AS u FROM endpoint) WHERE commodity = 'HE' GROUP BY 1""",
 )
 ORACLES["q_cost_benchmark"] = sql(
     "accounting",
@@ -764,8 +764,26 @@ ORACLES["q_reconcile"] = sql(
       case when n.received_head < m.head_moved then 'issue' when n.received_head > m.head_moved then 'loss' else 'match' end AS finding
     FROM nursery n JOIN m USING (pig_group_id)""",
 )
+ORACLES["q_claims"] = """
+    WITH RECURSIVE
+    s AS (SELECT l_suppkey % 40 AS upload, l_partkey % 9 AS position, concat('f', (l_orderkey % 7) * (l_linenumber % 3)) AS target, count(*) % 20 / 20 AS score
+      FROM lineitem GROUP BY 1, 2, 3),
+    scores AS (SELECT upload, position, target, score + case when target = 'f0' then 0.5::double else 0::double end AS score FROM s),
+    best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY upload, position ORDER BY score DESC, target) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY upload, target ORDER BY score DESC, position) AS nth FROM best),
+    losers AS (SELECT upload, position, row_number() OVER (PARTITION BY upload ORDER BY position) AS i FROM ranked WHERE nth > 1),
+    taken AS (SELECT upload, list(target) AS gone FROM ranked WHERE nth = 1 GROUP BY upload),
+    choices AS (SELECT upload, position, i, list({'score': -score, 'target': target}) AS wanted FROM losers JOIN scores USING (upload, position) WHERE score > 0.4 GROUP BY ALL),
+    walk AS (
+      SELECT upload, 0::BIGINT AS i, gone, NULL::BIGINT AS position, NULL::STRUCT(score DOUBLE, target VARCHAR) AS got FROM taken
+      UNION ALL
+      SELECT upload, i, case when got IS NULL then gone else list_append(gone, got.target) end, position, got FROM (
+        SELECT w.upload, l.i, w.gone, l.position, list_min(list_filter(c.wanted, lambda x: NOT list_contains(w.gone, x.target))) AS got
+        FROM walk w JOIN losers l ON l.upload = w.upload AND l.i = w.i + 1 LEFT JOIN choices c ON c.upload = l.upload AND c.i = l.i))
+    SELECT upload, concat('c', position) AS "column", target, score, 'match' AS outcome FROM ranked WHERE nth = 1
+    UNION ALL SELECT upload, concat('c', position), got.target, coalesce(-got.score, 0), case when got IS NULL then 'demoted' else 'rematch' end FROM walk WHERE i > 0"""
 ORACLES["q_identity"] = sql(
-    "packer farrowing futures",
+    "packer farrowing futures accounting",
     """
     SELECT 'eval_price' AS "check", count(ok) AS n_checked, count(*) FILTER (NOT ok) AS n_violations FROM (SELECT
       abs(eval_price_cwt - (base_price_cwt + matrix_premium_cwt + sort_loss_cwt + vob_cwt)) <= 0.01 AS ok FROM packer)
@@ -774,7 +792,9 @@ ORACLES["q_identity"] = sql(
     UNION ALL SELECT 'line_total', count(ok), count(*) FILTER (NOT ok) FROM (SELECT
       abs(l_extendedprice - l_quantity * round_even(l_extendedprice / l_quantity, 0)) <= 10 AS ok FROM lineitem)
     UNION ALL SELECT 'ohlc', count(ok), count(*) FILTER (NOT ok) FROM (SELECT
-      low <= least(open, close) AND high >= greatest(open, close) AS ok FROM futures)""",
+      low <= least(open, close) AND high >= greatest(open, close) AS ok FROM futures)
+    UNION ALL SELECT 'total_cost', count(ok), count(*) FILTER (NOT ok) FROM (SELECT
+      abs(total_cost - quantity * unit_cost) <= 0.01 AS ok FROM accounting)""",
 )
 
 # Routing and manifest ------------------------------------------------------------------

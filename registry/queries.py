@@ -13,7 +13,7 @@ from paddock.functions.dates import contract_yyyymm, parse_date, parse_yyyymmdd
 from paddock.functions.numeric import clip, flag, from_units, to_units
 from paddock.functions.text import comma_number, lookup, snake_columns, strip_columns, to_number
 from paddock.operators import aggregates as agg
-from paddock.operators import joins, quality, routing, scenarios, timeline
+from paddock.operators import claims, joins, quality, routing, scenarios, timeline
 from paddock.operators.cleaning import CleaningSpec, clean, count_outside
 from paddock.plans import build, cleanup, questions, uploads, views
 from paddock.sources.schemas import FieldRule
@@ -336,14 +336,13 @@ def q_rank_combo(t: Tables) -> DataFrame:
 def q_first_last(t: Tables) -> DataFrame:
     rows = t.lineitem_dated
     order = ["l_orderkey", "l_linenumber", "l_extendedprice"]
-    first = joins.first_by_key(rows, ["ship_date"], order, {"first_price": F.col("l_extendedprice")})
-    last = joins.latest_by_key(rows, ["ship_date"], order, {"last_price": F.col("l_extendedprice")})
-    return first.join(last, "ship_date")
+    price = F.col("l_extendedprice")
+    return joins.first_and_last_by_key(rows, ["ship_date"], order, {"first_price": price}, {"last_price": price})
 
 
 @query
 def q_seasonal(t: Tables) -> DataFrame:
-    return build.seasonal_avg(t.endpoint, with_std=True, scale=2).withColumn("std_price", F.round("std_price", 6))
+    return build.seasonal_avg(t.endpoint, with_std=True, scale=2)
 
 
 @query
@@ -667,6 +666,17 @@ def q_reconcile(t: Tables) -> DataFrame:
     return cleanup.head_reconciliation(t.nursery, t.flow, ["movement_date", "move_id"])
 
 
+@query
+def q_claims(t: Tables) -> DataFrame:
+    """Uploads (suppliers) whose columns (parts) claim fields (quantities) by how much they have in common; all want the first field."""
+    rows = t.lineitem.select(
+        F.expr("l_suppkey % 40").alias("upload"), F.expr("l_partkey % 9").alias("position"), F.concat(F.lit("f"), F.expr("(l_orderkey % 7) * (l_linenumber % 3)").cast("string")).alias("target")
+    )
+    scores = rows.groupBy("upload", "position", "target").agg((F.count(F.lit(1)) % 20 / 20 + F.when(F.col("target") == "f0", 0.5).otherwise(0.0)).alias("score"))
+    named = scores.withColumn("column", F.concat(F.lit("c"), F.col("position").cast("string")))
+    return claims.assign(named, "upload", "column", "position", "target", "score").select("upload", "column", "target", "score", "outcome")
+
+
 @query
 def q_identity(t: Tables) -> DataFrame:
     p, f, b = t.packer, t.farrowing, t.futures
@@ -678,8 +688,9 @@ def q_identity(t: Tables) -> DataFrame:
             t.lineitem, {"line_total": quality.sums_to(F.col("l_extendedprice"), [F.col("l_quantity") * F.rint(F.col("l_extendedprice") / F.col("l_quantity"))], 10.0)}
         ),
         quality.identity_checks(b, {"ohlc": quality.ohlc_bounds()}),
+        quality.identity_checks(t.accounting, {"total_cost": quality.product_of(F.col("total_cost"), F.col("quantity"), F.col("unit_cost"), 0.01)}),
     ]
-    return checks[0].unionByName(checks[1]).unionByName(checks[2]).unionByName(checks[3])
+    return reduce(DataFrame.unionByName, checks)
 
 
 # Routing and manifest ------------------------------------------------------------------

@@ -106,7 +106,7 @@ def test_range_stats_equal_brute_force(spark, keyed):
     rng = random.Random(11)
     spans = [(rng.choice("ab"), lo := rng.randrange(0, 90), lo + rng.randrange(0, 60)) for _ in range(60)]
     readings = [(rng.choice("ab"), rng.randrange(0, 150), float(rng.randrange(100))) for _ in range(400)]
-    got = span_stats(spark, spans, readings, by=["k"] if keyed else [], bucket_days=7)
+    got = span_stats(spark, spans, readings, by=["k"] if keyed else [])
     for i, (k, lo, hi) in enumerate(spans):
         v = [x for rk, d, x in readings if lo <= d <= hi and (rk == k or not keyed)]
         want = (len(v), sum(v) / len(v), sum(v), min(v), max(v), sum(x < 40 for x in v)) if v else (0, None, None, None, None, 0)
