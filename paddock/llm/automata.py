@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from paddock.llm.common import checkpointed, mix, span_hashes, text_blocks, words
 
 WINDOW = 13
-GRAM = 6
-SHARD_WORDS = 100_000
+GRAM = 5
+BLOCK = 1 << 19
+SHARD_WORDS = 50_000
 STREAM_WORDS = 1_000_000
 _EXACT = np.arange(1, 257, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -140,17 +141,17 @@ def _window_values(data: np.ndarray, offsets: np.ndarray, level: int) -> list[np
 
 def _values(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_blocks(batches, "text"):
+        for rows, data, offsets in text_blocks(batches, "text", BLOCK):
             found = [np.unique(v) for v in _window_values(data, offsets, level)]
             at = pa.array(np.repeat(np.arange(len(found)), [len(v) for v in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *[rows.column(i).take(at) for i in range(3)]], names=["value", "id", "key", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *[rows.column(i).take(at) for i in range(2)]], names=["value", "piece", "id"])
 
     return run
 
 
 def _fragments(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_blocks(batches, "text"):
+        for rows, data, offsets in text_blocks(batches, "text", BLOCK):
             out: list[tuple] = []
             ids, keys, starts, known = (rows.column(i).to_pylist() if i < 3 else rows.column(4) for i in range(4))
             values = _window_values(data, offsets, level)
@@ -200,10 +201,12 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shared_passages(pieces: DataFrame, level: int) -> DataFrame:
     """Runs of windows of the pieces (id, key, start, text) by the smallest document that has their value."""
-    values = pieces.mapInArrow(_values(level), "value bigint, id bigint, key bigint, start bigint")
+    # pieces of one hash would only look for each other's values, too
+    pieces = pieces.withColumn("piece", F.xxhash64("id", "key", "start"))
+    values = pieces.select("piece", "id", "text").mapInArrow(_values(level), "value bigint, piece bigint, id bigint")
     owners = values.groupBy("value").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    known = values.join(owners.hint("merge"), "value").groupBy("id", "key", "start").agg(F.collect_list(F.struct("value", "owner")).alias("known"))
-    return checkpointed(pieces.join(known.hint("merge"), ["id", "key", "start"]).select("id", "key", "start", "text", "known").mapInArrow(_fragments(level), FRAGMENT))
+    known = values.select("value", "piece").join(owners.hint("merge"), "value").groupBy("piece").agg(F.collect_list(F.struct("value", "owner")).alias("known"))
+    return checkpointed(pieces.join(known.hint("merge"), "piece").select("id", "key", "start", "text", "known").mapInArrow(_fragments(level), FRAGMENT))
 
 
 def _stream(fragments: DataFrame) -> DataFrame:
@@ -234,7 +237,7 @@ def covered_words(texts: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in text_blocks(batches, "text"):
+    for rows, data, offsets in text_blocks(batches, "text", BLOCK):
         counts, removed, kept = [], [], []
         for i, spans in enumerate(rows.column(2).to_pylist()):
             tokens = data[offsets[i] : offsets[i + 1]].tobytes().split()
