@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paddock.functions.dates import parse_date
 from paddock.functions.text import comma_number, snake_columns, to_number
+from paddock.sources.quoted import header_of, read_quoted, records
 from paddock.sources.schemas import ENDPOINT_SCHEMA, FUTURES_SCHEMA, PRODUCER_DATES, PRODUCER_SCHEMAS
 
 DELIMITERS = {".csv": ",", ".tsv": "\t"}
@@ -26,15 +29,17 @@ def _separator(path: str) -> str:
     return next((s for ext, s in DELIMITERS.items() if path.lower().endswith(ext)), ",")
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = False) -> DataFrame:
     """Delimited file or folder with a header line; ``.tsv`` paths are split at tabs.
 
-    Quoted fields may hold separators, doubled quotes and line breaks. With a schema the header
-    must have its names; the columns are read as text and cast by :func:`declared`."""
-    reader = _reader(spark, _separator(path))
-    if schema is None:
-        return reader.csv(path)
-    return declared(reader.schema(_texts(schema)).option("enforceSchema", False).csv(path), schema)
+    Quoted fields may hold separators, doubled quotes and line breaks; a file is read by many tasks
+    all the same (see ``quoted``), or with ``multi_line`` by one through Spark's own parser. With a schema the
+    header must have its names; the columns are read as text and cast by :func:`declared`."""
+    if multi_line:
+        reader = _reader(spark, _separator(path))
+        return reader.csv(path) if schema is None else declared(reader.schema(_texts(schema)).option("enforceSchema", False).csv(path), schema)
+    rows = read_quoted(spark, path, _separator(path), schema and schema.fieldNames())
+    return rows if schema is None else declared(rows, schema)
 
 
 def _reader(spark: SparkSession, sep: str) -> DataFrameReader:
@@ -59,7 +64,7 @@ def declared(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def failed_casts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Per column: texts that are there and are null as the declared type."""
-    texts = _reader(spark, _separator(path)).schema(_texts(schema)).option("enforceSchema", False).csv(path)
+    texts = read_quoted(spark, path, _separator(path), schema.fieldNames())
     lost = {f.name: F.col(f"`{f.name}`").isNotNull() & _declared(F.col(f"`{f.name}`"), f.dataType).isNull() for f in schema.fields}
     counts = [F.struct(F.lit(n).alias("column"), F.count_if(c).alias("failed")) for n, c in lost.items()]
     return texts.agg(F.array(*counts).alias("c")).select(F.inline("c"))
@@ -69,10 +74,10 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw delimited file with every column as text. A repeated header gets ``.1``, ``.2``
     and so on behind it, and the usual marks for a missing value become null."""
     sep = _separator(path)
-    header = [v or f"Unnamed: {i}" for i, v in enumerate(_reader(spark, sep).option("header", False).csv(path).first())]
+    found = [r["record"] for r in records(spark, path, sep).where("first").orderBy("path").limit(1).collect()]
+    header = [v or f"Unnamed: {i}" for i, v in enumerate(header_of(found[0], sep) if found else [])]
     names = [f"{h}.{n}" if (n := header[:i].count(h)) else h for i, h in enumerate(header)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    table = _reader(spark, sep).schema(schema).csv(path)
+    table = read_quoted(spark, path, sep, names, check_header=False)
     return table.select(*[F.when(~F.col(f"`{n}`").isin(MISSING_MARKS), F.col(f"`{n}`")).alias(n) for n in names])
 
 
@@ -90,10 +95,9 @@ def read_endpoint(spark: SparkSession, path: str) -> DataFrame:
 
 def read_futures(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Daily prices of many contracts, one file each, with the file a row came from."""
-    reader = _reader(spark, ",").schema(_texts(FUTURES_SCHEMA)).option("enforceSchema", False)
-    table = reader.csv(paths if isinstance(paths, str) else list(paths))
+    table = read_quoted(spark, paths, ",", FUTURES_SCHEMA.fieldNames(), name_column="source_file")
     typed = [_declared(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in FUTURES_SCHEMA.fields]
-    table = table.select(*typed, F.col("_metadata.file_name").alias("source_file"))
+    table = table.select(*typed, "source_file")
     return table.withColumn("time", parse_date(F.col("time")))
 
 
@@ -104,11 +108,14 @@ def cast_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path, or a glob of paths, holds anything, on whatever file system it names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
-    return found is not None and len(found) > 0
+    """Whether a path, or a glob of paths, holds anything, on whatever file system it names: whether Spark's
+    file source finds files there."""
+    try:
+        return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def read_optional(
@@ -122,11 +129,10 @@ def read_optional(
 
 
 def list_tables(spark: SparkSession, folder: str, suffixes: Sequence[str] = tuple(DELIMITERS)) -> dict[str, str]:
-    """Base name and path of each data file in a folder, in order of the names."""
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(folder)
-    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(base)
-    found = {f.getPath().getName(): f.getPath().toString() for f in files}
+    """Base name and path of each data file in a folder, in order of the names. Spark lists the files
+    and returns one row each; their content is not read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.*").load(folder.rstrip("/"))
+    found = {unquote(r["path"].rsplit("/", 1)[1]): r["path"] for r in listed.select("path").collect()}
     return {n.removesuffix(s): p for n, p in sorted(found.items()) for s in suffixes if n.endswith(s)}
 
 
