@@ -31,6 +31,8 @@ from paddock.operators.joins import (
     period_benchmark,
     range_stats,
 )
+from paddock.sources.readers import path_exists, read_endpoint, read_other, read_producer
+from paddock.sources.schemas import PRODUCER_SCHEMAS
 from paddock.sources.writers import write_parquet
 
 GROUP = "pig_group_id"
@@ -525,9 +527,36 @@ def build_all(
     return tables | {n: t for n, t in (extras or {}).items() if t is not None}
 
 
+REQUIRED = [*PRODUCER_SCHEMAS, "endpointlist", "national", "indexes"]
+
+
+def read_inputs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Input tables by name from their files. Optional tables whose path holds nothing are left out; a
+    required one that is missing is an error."""
+    missing = [n for n in REQUIRED if n not in paths or not path_exists(spark, paths[n])]
+    if missing:
+        raise FileNotFoundError(f"no file for {', '.join(missing)}")
+    present = [n for n in paths if n in REQUIRED or path_exists(spark, paths[n])]
+    read = lambda n: read_producer if n in PRODUCER_SCHEMAS else read_other
+    return {n: read_endpoint(spark, paths[n]) if n == "endpointlist" else read(n)(spark, n, paths[n]) for n in present}
+
+
+def build_from_files(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """All derived tables from the input files, {table name: path}; the names are those of the producer
+    tables, ``endpointlist`` and the tables of ``sources.schemas.OTHER_TABLES``."""
+    inputs = read_inputs(spark, paths)
+    producer = {n: inputs[n] for n in PRODUCER_SCHEMAS}
+    extras = {n: t for n, t in inputs.items() if n not in REQUIRED and n != "western"}
+    tables = build_all(spark, producer, inputs["endpointlist"], inputs["national"], inputs["indexes"], extras)
+    if "western" in inputs:
+        tables["packer_basis"] = packer_basis(producer["packer"], inputs["national"], cash_index(inputs["indexes"]), inputs["western"])
+    return tables
+
+
 def write_all(tables: dict[str, DataFrame], folder: str) -> list[dict]:
-    """Writes every derived table as Parquet, futures closes by commodity; returns the
-    manifest entries."""
+    """Writes every derived table as Parquet; returns the manifest entries. Futures closes are dealt to
+    ranges of (commodity, day) first, so that a commodity's folder gets one file a range and not one a task."""
+    closes = {n: t.repartitionByRange("commodity", "trading_day").sortWithinPartitions("commodity", "trading_day") for n, t in tables.items() if n == "endpointlist"}
     return [
-        write_parquet(t, folder, n, ["commodity"] if n == "endpointlist" else []) for n, t in tables.items()
+        write_parquet(closes.get(n, t), folder, n, ["commodity"] if n in closes else []) for n, t in tables.items()
     ]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from paddock.functions.dates import parse_date
 from paddock.functions.text import comma_number, snake_columns, to_number
 from paddock.sources.quoted import header_of, read_quoted, records
-from paddock.sources.schemas import ENDPOINT_SCHEMA, FUTURES_SCHEMA, PRODUCER_DATES, PRODUCER_SCHEMAS
+from paddock.sources.schemas import ENDPOINT_SCHEMA, FUTURES_SCHEMA, OTHER_TABLES, PRODUCER_DATES, PRODUCER_SCHEMAS
 
 DELIMITERS = {".csv": ",", ".tsv": "\t"}
 
@@ -87,6 +87,15 @@ def read_producer(spark: SparkSession, name: str, path: str) -> DataFrame:
     return table.withColumns({c: parse_date(F.col(c)) for c in PRODUCER_DATES[name]})
 
 
+def read_other(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """One of the market, weather, health or barn tables: snake case names, parsed dates, numbers where the
+    table has them; other columns stay texts. Whatever columns the file has are kept."""
+    dates, numbers = OTHER_TABLES[name]
+    table = snake_columns(read_delimited(spark, path))
+    parsed = {c: parse_date(F.col(c)) for c in dates if c in table.columns}
+    return cast_numbers(table.withColumns(parsed) if parsed else table, numbers)
+
+
 def read_endpoint(spark: SparkSession, path: str) -> DataFrame:
     """Daily futures closes of all contracts, without the rows that have no trading day."""
     table = snake_columns(read_delimited(spark, path, ENDPOINT_SCHEMA))

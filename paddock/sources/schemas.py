@@ -6,49 +6,55 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-_TYPES = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType()}
+_TYPES = {"STRING": T.StringType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType()}
 
 
-def struct(columns: str) -> T.StructType:
-    """StructType from ``name:t`` words, t being s (string), i (integer) or d (double)."""
-    pairs = [word.rsplit(":", 1) for word in columns.split()]
-    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in pairs])
+def struct(ddl: str) -> T.StructType:
+    """StructType from DDL text such as ``Site STRING, Heads INT, Weight DOUBLE``, without a session."""
+    fields = (column.strip().rsplit(" ", 1) for column in ddl.split(","))
+    return T.StructType([T.StructField(n.strip("`"), _TYPES[t]) for n, t in fields])
 
 
 # Columns of the producer files as they arrive; dates are texts.
 PRODUCER_SCHEMAS = {
     "nursery": struct(
-        "Pig_Group_ID:s Placement_Date:s Nursery_Site:s Nursery_Barn:s Pig_Source:s Production_Flow:s "
-        "Expected_Head:i Received_Head:i Avg_Weight_In_lb:d Age_Days:i Health_Status:s Placement_Week:i Notes:s"
+        "Pig_Group_ID STRING, Placement_Date STRING, Nursery_Site STRING, Nursery_Barn STRING, "
+        "Pig_Source STRING, Production_Flow STRING, Expected_Head INT, Received_Head INT, "
+        "Avg_Weight_In_lb DOUBLE, Age_Days INT, Health_Status STRING, Placement_Week INT, Notes STRING"
     ),
     "flow": struct(
-        "Pig_Group_ID:s Movement_Date:s From_Site:s From_Barn:s To_Site:s To_Barn:s Event:s Head_Moved:i "
-        "Avg_Weight_lb:d Notes:s"
+        "Pig_Group_ID STRING, Movement_Date STRING, From_Site STRING, From_Barn STRING, To_Site STRING, "
+        "To_Barn STRING, Event STRING, Head_Moved INT, Avg_Weight_lb DOUBLE, Notes STRING"
     ),
     "hedging": struct(
-        "Pig_Group_ID:s Expected_Head_From_Nursery:i Coverage_Percent:d Head_Covered:i Contracts:i "
-        "Instrument_Type:s Buy_Sell:s Trade_Date:s Expiration_Date:s Strike_or_Futures_Price_CWT:d "
-        "Option_or_LRP_Premium_CWT:d Contract_Month:s Broker:s Notes:s"
+        "Pig_Group_ID STRING, Expected_Head_From_Nursery INT, Coverage_Percent DOUBLE, Head_Covered INT, "
+        "Contracts INT, Instrument_Type STRING, Buy_Sell STRING, Trade_Date STRING, Expiration_Date STRING, "
+        "Strike_or_Futures_Price_CWT DOUBLE, Option_or_LRP_Premium_CWT DOUBLE, Contract_Month STRING, "
+        "Broker STRING, Notes STRING"
     ),
     "packer": struct(
-        "Packer:s Plant:s Settlement_ID:s Scale_Ticket_ID:s Kill_Date:s Delivery_Date:s Producer:s Site:s "
-        "Tattoo:s Load_ID:s Contract_Type:s Expected_Head:i Delivered_Head:i Paid_Head:i "
-        "Live_Weight_Total_lb:d Avg_Live_Wt_lb:d Avg_Carc_Wt_lb:d Avg_Yield_pct:d Base_Price_CWT:d "
-        "Matrix_Premium_CWT:d VOB_CWT:d Sort_Loss_CWT:d Eval_Price_CWT:d Carcass_Total_Weight_lb:d "
-        "Gross_Payment_$:d Freight_Carrier:s Freight_Amount_$:d Checkoff_$:d Yardage_$:d Other_Deductions_$:d "
-        "Total_Deductions_$:d Net_Payment_$:d Payment_Date:s"
+        "Packer STRING, Plant STRING, Settlement_ID STRING, Scale_Ticket_ID STRING, Kill_Date STRING, "
+        "Delivery_Date STRING, Producer STRING, Site STRING, Tattoo STRING, Load_ID STRING, "
+        "Contract_Type STRING, Expected_Head INT, Delivered_Head INT, Paid_Head INT, "
+        "Live_Weight_Total_lb DOUBLE, Avg_Live_Wt_lb DOUBLE, Avg_Carc_Wt_lb DOUBLE, Avg_Yield_pct DOUBLE, "
+        "Base_Price_CWT DOUBLE, Matrix_Premium_CWT DOUBLE, VOB_CWT DOUBLE, Sort_Loss_CWT DOUBLE, "
+        "Eval_Price_CWT DOUBLE, Carcass_Total_Weight_lb DOUBLE, Gross_Payment_$ DOUBLE, "
+        "Freight_Carrier STRING, Freight_Amount_$ DOUBLE, Checkoff_$ DOUBLE, Yardage_$ DOUBLE, "
+        "Other_Deductions_$ DOUBLE, Total_Deductions_$ DOUBLE, Net_Payment_$ DOUBLE, Payment_Date STRING"
     ),
     "accounting": struct(
-        "Date:s Month:s Site:s Cost_Category:s Cost_Subcategory:s Description:s Quantity:d Unit_Cost:d "
-        "Total_Cost:d Vendor:s Production_Phase:s Pig_Group_ID:s"
+        "Date STRING, Month STRING, Site STRING, Cost_Category STRING, Cost_Subcategory STRING, "
+        "Description STRING, Quantity DOUBLE, Unit_Cost DOUBLE, Total_Cost DOUBLE, Vendor STRING, "
+        "Production_Phase STRING, Pig_Group_ID STRING"
     ),
     "farrowing": struct(
-        "Week_Start:s Sow_Farm:s Sows_Bred:i Farrowings:i Total_Born:i Live_Born:i PreWean_Mortality_Head:i "
-        "Weaned_Pigs:i Avg_Wean_Weight_lb:d Avg_Wean_Age_Days:i Notes:s"
+        "Week_Start STRING, Sow_Farm STRING, Sows_Bred INT, Farrowings INT, Total_Born INT, Live_Born INT, "
+        "PreWean_Mortality_Head INT, Weaned_Pigs INT, Avg_Wean_Weight_lb DOUBLE, Avg_Wean_Age_Days INT, "
+        "Notes STRING"
     ),
     "barn_env": struct(
-        "Date:s Site:s Barn:s Avg_Temperature_F:d Avg_Humidity_pct:d Water_Usage_Gallons:d Power_Usage_kWh:d "
-        "Ventilation_Level_pct:d"
+        "Date STRING, Site STRING, Barn STRING, Avg_Temperature_F DOUBLE, Avg_Humidity_pct DOUBLE, "
+        "Water_Usage_Gallons DOUBLE, Power_Usage_kWh DOUBLE, Ventilation_Level_pct DOUBLE"
     ),
 }
 
@@ -63,10 +69,34 @@ PRODUCER_DATES = {
     "barn_env": ["date"],
 }
 
-FUTURES_SCHEMA = struct("symbol:s time:s open:d high:d low:d close:d volume:d open_interest:d")
+FUTURES_SCHEMA = struct(
+        "symbol STRING, time STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, "
+        "open_interest DOUBLE"
+    )
 ENDPOINT_SCHEMA = struct(
-    "Commodity:s month:s year:s tradingDay:s close:d commodityMonth:s monthName:s weekofYear:i week:s monthDay:s symbol:s"
-)
+        "Commodity STRING, month STRING, year STRING, tradingDay STRING, close DOUBLE, "
+        "commodityMonth STRING, monthName STRING, weekofYear INT, week STRING, monthDay STRING, symbol STRING"
+    )
+
+
+# Date and number columns of the other input tables, by the names they have in snake case.
+OTHER_TABLES: dict[str, tuple[list[str], list[str]]] = {
+    "national": (["report_date"], ["wtd_avg"]),
+    "western": (["report_date"], ["wtd_avg"]),
+    "indexes": (["report_date"], ["amount"]),
+    "weather": (["date"], ["outdoor_high_f", "outdoor_low_f", "peak_wind_gust_mph", "avg_wind_mph"]),
+    "disease": ([], ["calendar_year", "calendar_month", "cumulative_incidence_pct"]),
+    "lrp_quotes": (
+        [],
+        ["coverage_level_percent", "coverage_price", "per_head_premium", "producer_premium_amount", "subsidy_percent", "cme_premium", "endorsement_length", "grouping_date"],
+    ),
+    "lookup_cme": ([], ["strike", "previous"]),
+    "feed_consumption": (["date"], ["day_in_finisher", "actual_feed_per_head_lb", "expected_feed_per_head_lb"]),
+    "weekly_mortality": (["week_start"], ["week_number", "deaths", "cumulative_deaths", "start_head", "head_remaining", "weekly_mortality_pct"]),
+    "treatment_logs": (["date"], ["head_treated"]),
+    "feed_delivery": (["date", "delivery_date"], []),
+    "employee_entry": (["date"], []),
+}
 
 
 @dataclass(frozen=True)

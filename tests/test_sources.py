@@ -16,7 +16,7 @@ def put(folder, name, text):
 
 
 def test_delimiter_follows_the_suffix(spark, tmp_path):
-    schema = struct("a:s b:i")
+    schema = struct("a STRING, b INT")
     comma = put(tmp_path, "x.csv", "a,b\r\nu,1\r\n")
     tabs = put(tmp_path, "x.tsv", "a\tb\nu\t1\n")
     for path in (comma, tabs):
@@ -169,7 +169,7 @@ def test_quotes_and_line_breaks_survive(spark, tmp_path):
 
 
 def test_whole_numbers_in_other_forms(spark, tmp_path):
-    kind = struct("g:s n:i v:d")
+    kind = struct("g STRING, n INT, v DOUBLE")
     (tmp_path / "t.csv").write_text('g,n,v\na,1200.0,"1,300.5"\nb,"1,300",2\nc,1.5,x\nd,,\n')
     got = [tuple(r) for r in readers.read_delimited(spark, f"{tmp_path}/t.csv", kind).collect()]
     assert got == [("a", 1200, 1300.5), ("b", 1300, 2.0), ("c", None, None), ("d", None, None)]
