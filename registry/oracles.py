@@ -601,6 +601,18 @@ ORACLES["q_drop_nulls_const"] = sql(
     SELECT "Order Key" AS order_key, {_DATE} AS order_date, {_COMPACT} AS compact, {_TOTAL} AS totalusd, trim("Pct%") AS pctpct
     FROM raw_rows WHERE "Total$" IS NOT NULL""",
 )
+ORACLES["q_rename"] = sql(
+    "raw_rows",
+    """
+    SELECT "Order Key" AS order_key, trim("Order-Date") AS order_date, "Compact" AS compact, trim("Total$") AS totalusd, trim("Pct%") AS share,
+      trim("Priority") AS order_priority, "Constant" AS constant FROM raw_rows""",
+)
+ORACLES["q_generic"] = sql(
+    "raw_rows",
+    f"""
+    SELECT "Order Key" AS order_key, {_DATE} AS order_date, "Compact" AS compact, trim("Total$") AS totalusd, trim("Pct%") AS pctpct,
+      trim("Priority") AS priority, "Constant" AS constant FROM raw_rows""",
+)
 ORACLES["q_union"] = """
     SELECT c_custkey, c_mktsegment, lower(c_mktsegment) AS source FROM customer WHERE c_mktsegment IS NOT NULL"""
 

@@ -14,7 +14,7 @@ from paddock.functions.numeric import clip, flag, from_units, to_units
 from paddock.functions.text import comma_number, lookup, snake_columns, strip_columns, to_number
 from paddock.operators import aggregates as agg
 from paddock.operators import claims, joins, quality, routing, scenarios, timeline
-from paddock.operators.cleaning import CleaningSpec, clean, count_outside
+from paddock.operators.cleaning import CleaningSpec, clean, count_outside, generic_spec
 from paddock.plans import build, cleanup, questions, uploads, views
 from paddock.sources.schemas import FieldRule
 from paddock.sources.writers import table_facts
@@ -512,6 +512,18 @@ def q_drop_nulls_const(t: Tables) -> DataFrame:
     return clean(t.raw_rows, spec).table
 
 
+@query
+def q_rename(t: Tables) -> DataFrame:
+    spec = CleaningSpec(rename={"Pct%": "Share", "Priority": "Order Priority"}, drop_mostly_null=True, drop_constant=True, keep_constant=("Constant",))
+    return clean(t.raw_rows, spec).table
+
+
+@query
+def q_generic(t: Tables) -> DataFrame:
+    raw = t.raw_rows
+    return clean(raw, generic_spec(("Order-Date", "Report-Date"), raw.columns)).table
+
+
 @query
 def q_union(t: Tables) -> DataFrame:
     slices = [

@@ -120,6 +120,34 @@ def test_range_names_are_sorted_and_distinct(spark):
     assert out.first()["farms"] == "a, b"
 
 
+def test_long_spans_take_two_rows_each(spark):
+    """Counts and sums of spans of decades: no plan node has more rows than a few for each span or day."""
+    s = spark.range(200).select(F.expr("date_add(date'1989-01-01', cast(id AS int))").alias("lo"), F.expr("date_add(date'2020-01-01', cast(id * 7 AS int))").alias("hi"))
+    r = spark.range(11000).select(F.expr("date_add(date'1990-06-01', cast(id AS int))").alias("d"), F.col("id").cast("double").alias("v"))
+    out = joins.range_stats(s, r, "lo", "hi", "d", {"n": ("count", F.lit(1)), "sum": ("sum", F.col("v"), 0)})
+    got = {(x["n"], x["sum"]) for x in out.collect()}
+    assert max(n for n, _ in got) > 10000 and all(total == n * (n - 1) / 2 for n, total in got)
+    nodes, most = [out._jdf.queryExecution().executedPlan()], 0
+    plan = nodes[0].executedPlan() if "Adaptive" in nodes[0].nodeName() else nodes[0]
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        inner = node.children()
+        nodes += [inner.apply(i) for i in range(inner.size())]
+        if node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    assert 200 <= most <= 800
+
+
+def test_very_many_names(spark):
+    s = spark.createDataFrame([(day(0), day(300)), (day(5), day(6))], "lo date, hi date")
+    r = spark.range(100_000).select(F.expr("date_add(date'2025-01-01', cast(id % 200 AS int))").alias("d"), F.concat(F.lit("farm "), F.col("id")).alias("farm"))
+    got = sorted(len(x["farms"].split(", ")) for x in joins.range_stats(s, r, "lo", "hi", "d", {"farms": ("names", F.col("farm"))}).collect())
+    assert got == [1000, 100_000]
+
+
 @pytest.mark.parametrize("parts", [1, 4, 23])
 def test_nearest_value_equals_brute_force(spark, parts):
     rng = random.Random(5)
