@@ -26,7 +26,7 @@ from paddock.llm.common import checkpointed, mix, span_hashes, text_blocks
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 TRIE_PHRASES = 250_000
 FILTER_BITS = 24
 _BREAK = np.zeros(256, dtype=bool)
@@ -34,6 +34,9 @@ _BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BETWEEN = _BREAK.copy()
 _BETWEEN[[0x20, 0x09]] = True
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_STEP_INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_LOW = np.uint64(0xFFFFFFFF)
+CHUNK = 512
 
 
 class Positions:
@@ -82,7 +85,7 @@ def _count_words(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def _count_phrases(size: int, known: Broadcast, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Phrases of `size` words whose first and last `size` - 1 words the bitmap knows, counted by block."""
+    """Phrases of `size` words whose first and last `size` - 1 words the bitmap knows, counted by block, with the low half of the last symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(known.value, bitorder="little").view(bool)
@@ -91,9 +94,12 @@ def _count_phrases(size: int, known: Broadcast, seed: int) -> Callable[[Iterator
             safe = bits[shorter >> np.uint64(64 - FILTER_BITS)]
             here = np.flatnonzero((at.left >= size) & safe & np.append(safe[1:], False))
             last = at.symbol[here + size - 1]
-            phrase, first, n = np.unique(mix(shorter[here] * _STEP + last), return_index=True, return_counts=True)
-            columns = [phrase.view(np.int64), shorter[here][first].view(np.int64), last[first].view(np.int64), n]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["phrase", "prefix", "last", "n"])
+            columns = [mix(shorter[here] * _STEP + last), last & _LOW]
+            order = np.argsort(columns[0])
+            columns = [c[order].view(np.int64) for c in columns]
+            first = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))[: len(order)])
+            columns = [*(c[first] for c in columns), np.diff(np.append(first, len(order)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["phrase", "low", "n"])
 
     return run
 
@@ -114,11 +120,17 @@ class DoubleArrayTrie:
         """`symbols` has the phrases one after the other, `sizes` their numbers of words."""
         self.alphabet = np.unique(symbols)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-        code = np.searchsorted(self.alphabet, symbols) + 1
         letters = len(self.alphabet)
-        self.base, self.check = np.zeros(2 * letters + 2, dtype=np.int64), np.full(2 * letters + 2, -1, dtype=np.int64)
+        place = np.searchsorted(self.alphabet, symbols)
+        inner = np.ones(len(symbols), dtype=bool)
+        inner[first] = False
+        # what follows other words most often has the smallest codes, so that families lie close
+        self.code = np.empty(letters, dtype=np.int64)
+        self.code[np.argsort(-np.bincount(place[inner], minlength=letters), kind="stable")] = np.arange(1, letters + 1)
+        code = self.code[place]
+        self.base, self.check = np.zeros(letters + 2, dtype=np.int32), np.full(letters + 2, -1, dtype=np.int32)
         self.slot = np.zeros(len(sizes), dtype=np.int64)  # of each phrase
-        for depth in range(int(sizes.max(initial=0))):
+        for depth in range(int(sizes.max(initial=0))):  # a level at a time
             rows = np.flatnonzero(sizes > depth)
             pair = self.slot[rows] * (letters + 1) + code[first[rows] + depth]
             pairs, back = np.unique(pair, return_inverse=True)
@@ -130,19 +142,18 @@ class DoubleArrayTrie:
     def _room(self, size: int) -> None:
         if size > len(self.base):
             more = max(size, 2 * len(self.base)) - len(self.base)
-            self.base = np.concatenate((self.base, np.zeros(more, dtype=np.int64)))
-            self.check = np.concatenate((self.check, np.full(more, -1, dtype=np.int64)))
+            self.base = np.concatenate((self.base, np.zeros(more, dtype=np.int32)))
+            self.check = np.concatenate((self.check, np.full(more, -1, dtype=np.int32)))
 
     def _place(self, parent: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """Slots of the children (parent, letter), sorted by both: families from the largest on, then single children into the holes."""
-        self.cursor = len(self.alphabet) + 1  # slots up to there belong to single words; no base is negative
+        self.cursor = end = len(self.alphabet) + 1  # slots up to there belong to single words; no base is negative
         heads = np.flatnonzero(np.diff(parent, prepend=-1))
         sizes = np.diff(np.append(heads, len(parent)))
         slots = np.empty(len(parent), dtype=np.int64)
         for k in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
             a, b = int(heads[k]), int(heads[k] + sizes[k])
             codes, owner = letter[a:b], parent[a]
-            end = len(self.check)
             base = self.cursor
             while True:  # the next few bases at a time, until all children fall on free slots
                 tries = base + np.arange(64 if b - a < 64 else 8)
@@ -152,7 +163,7 @@ class DoubleArrayTrie:
                     base = int(tries[np.argmax(fits)])
                     break
                 base = int(tries[-1]) + 1 if b - a < 64 or base >= end else end
-            self.cursor = base
+            self.cursor, end = base, max(end, base + int(codes[-1]) + 1)
             slots[a:b] = base + codes
             self.check[slots[a:b]] = owner
             self.base[owner] = base
@@ -160,7 +171,7 @@ class DoubleArrayTrie:
         start = len(self.alphabet) + 1
         holes = np.flatnonzero(self.check[start:] < 0)[: len(lone)] + start
         if len(holes) < len(lone):
-            end = max(len(self.check), start + int(letter.max(initial=0)))
+            end = len(self.check)
             holes = np.concatenate((holes, end + np.arange(len(lone) - len(holes))))
         if len(lone):
             self._room(int(holes[-1]) + 1)
@@ -172,7 +183,7 @@ class DoubleArrayTrie:
     def count(self, at: Positions) -> np.ndarray:
         """How often each slot is reached from all positions."""
         place = np.minimum(np.searchsorted(self.alphabet, at.symbol), len(self.alphabet) - 1)
-        code = np.where(self.alphabet[place] == at.symbol, place + 1, 0)
+        code = np.where(self.alphabet[place] == at.symbol, self.code[place], 0)
         here = np.flatnonzero(code)
         state = code[here]
         total = np.bincount(state, minlength=len(self.check))
@@ -189,14 +200,45 @@ class DoubleArrayTrie:
         return total
 
 
+def _unmix(h: np.ndarray) -> np.ndarray:
+    """What `mix` makes h of."""
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        h = h ^ (h >> np.uint64(shift)) ^ (h >> np.uint64(2 * shift))
+        h = h * np.uint64(pow(factor, -1, 1 << 64))
+    return h
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of all but the last word, from that of the phrase and the last symbol."""
+    for batch in batches:
+        phrase, last = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((_unmix(phrase) - last) * _STEP_INVERSE).view(np.int64))], names=["phrase", "last", "word", "prefix"])
+
+
 def _count_trie(shared: Broadcast, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, phrase = shared.value
         total = np.zeros(len(trie.check), dtype=np.int64)
         for _, _, at in _blocks(batches, seed):
             total += trie.count(at)
-        n = total[trie.slot]
-        yield pa.RecordBatch.from_arrays([pa.array(phrase[n > 0]), pa.array(n[n > 0])], names=["phrase", "n"])
+        n = np.zeros(-(-len(phrase) // CHUNK) * CHUNK, dtype=np.int64)
+        n[: len(phrase)] = total[trie.slot]
+        chunks = n.reshape(-1, CHUNK)
+        some = np.flatnonzero(chunks.any(axis=1))
+        counts = pa.FixedSizeListArray.from_arrays(pa.array(chunks[some].ravel()), CHUNK).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(some), counts], names=["chunk", "counts"])
+
+    return run
+
+
+def _sum_chunks(shared: Broadcast) -> Callable[[pa.Table], pa.Table]:
+    """Sums the tasks' counts of one chunk of phrases."""
+
+    def run(parts: pa.Table) -> pa.Table:
+        chunk = parts.column("chunk")[0].as_py()
+        phrase = shared.value[1][chunk * CHUNK : (chunk + 1) * CHUNK]
+        n = parts.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, CHUNK).sum(axis=0)[: len(phrase)]
+        return pa.table({"phrase": phrase, "n": n})
 
     return run
 
@@ -205,13 +247,15 @@ def _candidates(texts: DataFrame, words: DataFrame, least: int, seed: int) -> Da
     """(phrase, symbols, lang, words): every phrase that can have the least count."""
     frequent = checkpointed(words.where(F.col("n") >= least).select("lang", "word", "symbol"))
     level = frequent.select(F.col("symbol").alias("phrase"), F.array("symbol").alias("symbols"), "lang", F.array("word").alias("words"))
-    found, last = level, frequent.select(F.col("symbol").alias("last"), "word")
+    found, last = level, frequent.select(F.col("symbol").alias("last"), "word", F.col("symbol").bitwiseAND(F.lit(int(_LOW))).alias("low"))
     for size in range(2, LONGEST + 1):
         known = texts.sparkSession.sparkContext.broadcast(_bitmap(level))
-        counted = texts.mapInArrow(_count_phrases(size, known, seed), "phrase bigint, prefix bigint, last bigint, n bigint")
-        enough = counted.groupBy("phrase", "prefix", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n")
+        counted = texts.mapInArrow(_count_phrases(size, known, seed), "phrase bigint, low bigint, n bigint")
+        enough = counted.groupBy("phrase", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         before = level.select(F.col("phrase").alias("prefix"), "symbols", "lang", "words")
-        longer = enough.join(before, "prefix").join(last, "last")
+        # of the words that share the low half only the right one leads to a known prefix
+        ended = enough.join(last, "low").select("phrase", "last", "word").mapInArrow(_prefixes, "phrase bigint, last bigint, word string, prefix bigint")
+        longer = ended.join(before, "prefix")
         level = checkpointed(longer.select("phrase", F.concat("symbols", F.array("last")).alias("symbols"), "lang", F.concat("words", F.array("word")).alias("words")))
         found = found.unionByName(level)
     return found
@@ -229,12 +273,13 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, seed: int = 0) -> tu
     blocks, counts = found.count() // TRIE_PHRASES + 1, None
     for block in range(blocks):
         part = found.where(F.pmod("phrase", F.lit(blocks)) == block).select("phrase", "symbols").orderBy("phrase").toArrow()
-        symbols = part.column("symbols").combine_chunks()
-        trie = DoubleArrayTrie(symbols.flatten().to_numpy(zero_copy_only=False).view(np.uint64), symbols.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         if not len(part):
             continue
+        symbols = part.column("symbols").combine_chunks()
+        trie = DoubleArrayTrie(symbols.flatten().to_numpy(zero_copy_only=False).view(np.uint64), symbols.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         shared = texts.sparkSession.sparkContext.broadcast((trie, part.column("phrase").to_numpy()))
-        summed = texts.mapInArrow(_count_trie(shared, seed), "phrase bigint, n bigint").groupBy("phrase").agg(F.sum("n").alias("n"))
+        parts = texts.mapInArrow(_count_trie(shared, seed), "chunk bigint, counts array<bigint>")
+        summed = parts.groupBy("chunk").applyInArrow(_sum_chunks(shared), "phrase bigint, n bigint")
         counts = summed if counts is None else counts.unionByName(summed)
     if counts is None:
         counts = texts.sparkSession.createDataFrame([], "phrase bigint, n bigint")

@@ -82,7 +82,7 @@ def test_trie_holds_every_phrase_in_its_slot(seed):
     for p, end in zip(phrases, trie.slot.tolist()):
         slot = 0
         for symbol in p:
-            child = int(trie.base[slot]) + int(np.searchsorted(trie.alphabet, symbol)) + 1
+            child = int(trie.base[slot]) + int(trie.code[np.searchsorted(trie.alphabet, symbol)])
             assert trie.check[child] == slot
             slot = child
         assert slot == end and slots.setdefault(slot, p) == p
