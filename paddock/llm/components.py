@@ -1,16 +1,12 @@
 """Connected components of a distributed edge table.
 
-The rounds are many small queries on plain columns. They are planned once and not anew after every
-stage, which would cost the driver more than the queries cost the executors; what the adaptive
-engine would do about hot nodes is done by salts: the edges of a node are spread over SALTS parts.
+Nodes are of any type that can be ordered. The edges of a hot node are spread over SALTS parts, and
+minima are combined before they are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.common import checkpointed
@@ -18,17 +14,6 @@ from paddock.llm.common import checkpointed
 SALTS = 8
 
 
-@contextmanager
-def _planned_once(spark: SparkSession) -> Iterator[None]:
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Edges with the least node m of their node a."""
     parts = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
@@ -63,9 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
     to the driver. No edges give no rows; loops and nulls are left out.
     """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    with _planned_once(edges.sparkSession):
-        edges = checkpointed(_small_star(edges))
-        while not _stars_only(edges):
-            edges = checkpointed(_small_star(_large_star(edges)))
+    edges = checkpointed(_small_star(edges))
+    while not _stars_only(edges):
+        edges = checkpointed(_small_star(_large_star(edges)))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -91,3 +91,42 @@ def test_signature_values_are_unbiased():
         a, b = minmax.min_max([common.mix(base + np.uint64(k)), common.mix(other + np.uint64(k))])
         shares.append((a == b).mean())
     assert abs(np.mean(shares) - 300 / 433) < 0.02
+
+
+def test_small_sets_at_the_threshold_all_link(documents):
+    """3 of 4, 6 of 8 and 9 of 12 shingles in common, where bands alone miss some."""
+    rows = []
+    for i in range(300):
+        n = (4, 8, 12)[i % 3]
+        words = [f"d{i}w{j}" for j in range(n + 4)]
+        rows += [(10 * i, " ".join(words), "en", "s", 0), (10 * i + 1, " ".join(words[: n * 3 // 4 + 4]), "en", "s", 0)]
+    assert result(documents(rows)) == by_hand(rows)
+
+
+def test_different_texts_of_one_id_are_judged_each(spark, documents, sentence):
+    rng = random.Random(21)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, b + " more", "en", "s", 0), (1, a, "en", "s", 0), (3, a.upper(), "en", "s", 0)]
+    kept = minmax.drop_near_duplicates(documents(rows))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (1, b)])
+    judged = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minmax.near_duplicates(documents(rows)).collect()}
+    assert judged == {(1, 36, 1, True), (2, 37, 1, False), (3, 36, 1, False)}
+
+
+def test_pages_that_share_a_frame(documents, monkeypatch):
+    """A third of all rows has one frame and words of its own; pairs that are compared stay few."""
+    rng = random.Random(22)
+    frame = [f"frame{i}" for i in range(104)]
+    rows = [(i, " ".join([*frame, *(f"own{i}x{j}" for j in range(30))]), "en", "s", 0) for i in range(150)]
+    rows += [(200 + i, " ".join([*frame[: rng.randint(60, 104)], f"tail{i}"]), "en", "s", 0) for i in range(30)]
+    rows += [(300 + i, " ".join(f"other{i}x{j}" for j in range(50)), "en", "s", 0) for i in range(100)]
+    compared = []
+    links = minmax._links
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return links(pairs, sets, percent)
+
+    monkeypatch.setattr(minmax, "_links", counted)
+    assert result(documents(rows)) == by_hand(rows)
+    assert sum(compared) < 180 * 179 / 8
