@@ -1,11 +1,13 @@
 """Benchmark passages in documents, found with DataFrame functions only.
 
-Windows as long as an item are laid where a document shares a shingle with the benchmark (no
-other window can be similar). A window and the items of its length get SimHash fingerprints of
-their shingles. Fingerprints are cut into BLOCKS blocks: two within RADIUS bits differ by at most
+Windows as long as an item are laid wherever enough of a document's shingles are the item's: a window
+of similarity t shares t / (1 + t) of the shingles of both, so all other windows are out. A window and
+an item get SimHash fingerprints of their shingles, a repeated one counted by its occurrences (shingle, k-th
+time). Fingerprints are cut into BLOCKS blocks: two within RADIUS bits differ by at most
 RADIUS // BLOCKS bits in some block, so looking up every item block with all such flips finds all
-of them. What is within the radius is verified by the exact weighted similarity of the shingles,
-their weights being how often they occur: sum of the lesser over sum of the greater counts.
+of them, among the items whose shingles the window has. What is within the radius is verified by the exact
+weighted similarity of the shingles, their weights being how often they occur: sum of the lesser over sum
+of the greater counts.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ def shingles(tokens: str, size: int) -> Column:
     return F.expr(f"if(size({tokens}) < {size}, array(), transform(sequence(0, size({tokens}) - {size}), i -> xxhash64({run})))")
 
 
+def _numbered(hashes: str) -> str:
+    """The hashes as (hash, how many equal ones come before), so that all are distinct."""
+    nth = f"size(filter(slice({hashes}, 1, i), y -> y = x))"
+    return f"if(size(array_distinct({hashes})) = size({hashes}), transform({hashes}, x -> xxhash64(x, 0)), transform({hashes}, (x, i) -> xxhash64(x, if(i = 0, 0, {nth}))))"
+
+
 def fingerprint(hashes: str) -> Column:
     """SimHash of 64 bits: the majority of each bit over the hashes."""
     majority = f"aggregate({hashes}, 0, (s, x) -> s + 2 * cast(shiftright(x, b) & 1 as int) - 1) > 0"
@@ -49,11 +57,11 @@ def _bounded(side: DataFrame) -> DataFrame:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, gram, marks, mark): words, words in a shingle, shingles and fingerprint."""
+    """(item_id, item, size, gram, marks, mark): a key, words, words in a shingle, shingles and fingerprint."""
     rows = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     cases = F.coalesce(*[F.when(F.size("w") == n, shingles("w", n)) for n in range(1, SHINGLE)], shingles("w", SHINGLE))
-    sized = rows.select("item_id", F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("gram"), cases.alias("marks"))
-    return sized.withColumn("mark", fingerprint("marks"))
+    sized = rows.select("item_id", F.xxhash64("item_id", "w").alias("item"), F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("gram"), cases.alias("marks"))
+    return sized.withColumn("numbered", F.expr(_numbered("marks"))).withColumn("mark", fingerprint("numbered")).drop("numbered")
 
 
 def text_key(text: Column) -> Column:
@@ -62,13 +70,20 @@ def text_key(text: Column) -> Column:
     return F.concat_ws(":", F.xxhash64(text), F.crc32(text.cast("binary")), F.length(text))
 
 
-def _places(documents: DataFrame, items: DataFrame, gram: int) -> DataFrame:
-    """(key, windows): per text that shares a shingle, the distinct (start, size) to look at."""
-    index = items.select("size", F.posexplode("marks").alias("at", "hash")).distinct()
+def _places(documents: DataFrame, items: DataFrame, gram: int, percent: int) -> DataFrame:
+    """(key, places): per text the items (item, size, starts) with the windows that share enough shingles.
+
+    Of h shingles at positions p that are the item's, a window needs `least`; windows over p[i] to p[i + least - 1]
+    have them. Positions are bounded by the text."""
+    index = items.select("item", "size", F.size("marks").alias("m"), F.explode(F.array_distinct("marks")).alias("hash")).distinct()
     tokens = documents.select(F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
-    found = tokens.select("key", F.size("w").alias("n"), F.posexplode(shingles("w", gram)).alias("pos", "hash")).join(_bounded(index), "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("size")))
-    return found.select("key", F.struct(start.alias("start"), "size").alias("window")).distinct().groupBy("key").agg(F.collect_list("window").alias("windows"))
+    hits = tokens.select("key", F.size("w").alias("n"), F.posexplode(shingles("w", gram)).alias("pos", "hash")).join(_bounded(index), "hash")
+    held = hits.groupBy("key", "n", "item", "size", "m").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+    held = held.withColumn("room", F.least("m", F.col("n") - gram + 1)).withColumn("least", F.expr(f"cast(({percent} * (m + room) + {99 + percent}) div {100 + percent} AS int)"))
+    reach = "if(p[i + least - 1] - p[i] < room, sequence(greatest(0, p[i + least - 1] - room + 1), least(p[i], greatest(0, n - size))), cast(array() AS array<int>))"
+    starts = F.expr(f"array_distinct(flatten(transform(sequence(0, size(p) - least), i -> {reach})))")
+    found = held.where("size(p) >= least").withColumn("starts", starts).where("size(starts) > 0")
+    return found.groupBy("key").agg(F.collect_list(F.struct("item", "size", "starts")).alias("places"))
 
 
 def find_items(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -96,15 +111,17 @@ def _find(documents: DataFrame, items: DataFrame, gram: int, percent: int) -> Da
     limit = RADIUS // BLOCKS
     flips = [sum(1 << b for b in bits) for k in range(limit + 1) for bits in combinations(range(BLOCK_BITS), k)]
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    listed = items.select("item_id", F.col("size").alias("size2"), F.col("marks").alias("theirs"), F.col("mark").alias("mark2"), blocks.alias("block2"))
+    listed = items.select("item_id", F.col("item").alias("item2"), F.col("marks").alias("theirs"), F.col("mark").alias("mark2"), blocks.alias("block2"))
     listed = listed.withColumn("flip", F.explode(F.array(*[F.lit(f) for f in flips]))).withColumn("value2", F.expr(_block("mark2", "block2")).bitwiseXOR(F.col("flip"))).drop("flip")
-    places = _places(documents, items, gram)
-    rows = documents.withColumn("key", F.xxhash64("text")).join(places, "key").select("doc_id", text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("w"), "windows")
-    laid = rows.select("doc_id", "text_key", shingles("w", gram).alias("all"), "windows").select("doc_id", "text_key", "all", F.explode("windows").alias("window"))
-    laid = laid.select("doc_id", "text_key", "window.start", "window.size", F.expr(f"slice(all, window.start + 1, greatest(0, window.size - {gram - 1}))").alias("ours"))
-    marked = laid.where(F.size("ours") > 0).withColumn("mark", fingerprint("ours"))
+    places = _places(documents, items, gram, percent)
+    rows = documents.withColumn("key", F.xxhash64("text")).join(places, "key").select("doc_id", text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("w"), "places")
+    near = rows.select("doc_id", "text_key", shingles("w", gram).alias("all"), F.explode("places").alias("place"))
+    # windows are cut out before they become rows of their own
+    cut = F.expr(f"transform(place.starts, s -> struct(s AS start, slice(all, s + 1, greatest(0, place.size - {gram - 1})) AS ours))")
+    laid = near.select("doc_id", "text_key", "place.item", F.inline(cut))
+    marked = laid.withColumn("numbered", F.expr(_numbered("ours"))).withColumn("mark", fingerprint("numbered")).drop("numbered")
     keyed = marked.withColumn("block", blocks).withColumn("value", F.expr(_block("mark", "block")))
-    pairs = keyed.join(_bounded(listed), (F.col("size") == F.col("size2")) & (F.col("block") == F.col("block2")) & (F.col("value") == F.col("value2")))
+    pairs = keyed.join(_bounded(listed), (F.col("item") == F.col("item2")) & (F.col("block") == F.col("block2")) & (F.col("value") == F.col("value2")))
     # a pair is taken at the first block that finds it
     first = F.expr(f"block = 0 or forall(sequence(0, block - 1), j -> bit_count({_block('(mark ^ mark2)', 'j')}) > {limit})")
     distance = F.expr("bit_count(mark ^ mark2)")

@@ -63,6 +63,25 @@ def test_found_items_equal_brute_force(spark, documents, sentence, edges):
     assert result(spark, table, items) == want and len(want) > 25
 
 
+def test_moved_inserted_and_repeated_words(spark, documents, sentence):
+    """Swapped parts, inserted words, and differences that are one repeated word, down to a similarity of exactly 0.75."""
+    rng = random.Random(16)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(rng.choice([40, 50, 74])))) for i in range(40)]
+    rows = []
+    for i, item in items:
+        w = item.split()
+        turn = rng.choice([2, 3])
+        rows.append((i, " ".join([sentence(rng, 40), *w[len(w) // turn :], *w[: len(w) // turn], sentence(rng, 40)])))
+        at = rng.randrange(10, len(w))
+        rows.append((100 + i, " ".join([sentence(rng, 9), *w[:at], *["put", "in"] * rng.randint(1, 3), *w[at:], sentence(rng, 9)])))
+        same = -(-6 * (len(w) - 4) // 7) + 4  # the fewest words in common that reach 0.75
+        rows.append((200 + i, " ".join([sentence(rng, 9), *w[:same], *["again"] * (len(w) - same), sentence(rng, 9)])))
+        rows.append((300 + i, " ".join([*w[: same - 1], *["again"] * (len(w) - same + 1)])))
+    want = {k: round(v, 9) for k, v in by_hand(rows, items).items()}
+    assert result(spark, documents([(*r, "en", "s", 0) for r in rows]), items) == want
+    assert sum(k[0] >= 200 and v < 0.77 for k, v in want.items()) >= 30
+
+
 def test_repeated_words_count_as_often_as_they_occur(spark, documents):
     items = [(1, "a a a a a a a a a a"), (2, "x y x y x y x y x y x y")]
     rows = [(1, "a a a a a a a a a"), (2, "a a a a a a a"), (3, "x y x y x y x y x y"), (4, "y x y x y x y x y x y x")]
