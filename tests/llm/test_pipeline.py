@@ -13,7 +13,7 @@ from registry.queries import TABLES
 from tools.check_oracles import compare
 
 FOLDER = "/root/testdata/sf0.001"
-OPS = "op1_suffixes op2_packing op3_personal_data op4_decontamination op5_compression op6_chat op7_toxicity op8_language op9_near_vectors op10_min_max".split()
+OPS = "op1_suffixes op2_packing op3_personal_data op4_decontamination op5_compression op6_chat op7_toxicity op8_language op9_near_vectors op10_min_max op11_automata op12_structure op13_collocations".split()
 
 
 def test_registered():
