@@ -6,6 +6,8 @@ last return the columns of documents; the last returns the packed pieces.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from paddock.llm import decontaminate, minmax, packing, pii, toxicity
 from paddock.llm.common import read
 from paddock.llm.queries import TOKENIZER
+from paddock.session import ensure_checkpoint_dir
 
 # Trained models, tokens and fingerprints are no SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -30,12 +33,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Texts without words are no duplicates of anything; rows without an id stay. Rows that repeat
-    an id are one document, of which one row stays.
+    Texts without words are no duplicates of anything; rows without an id stay. Different texts
+    of one id are judged each for itself; of rows that repeat id and set one stays.
     """
-    kept = minmax.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    return minmax.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. Every stage is written as Parquet beside the checkpoints and read back, so
+    each is evaluated once and a later pass or a lost executor meets the same rows."""
+    folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4()}"
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
