@@ -183,7 +183,11 @@ def disease_risk(lifecycle: DataFrame, disease: DataFrame, *, season: str = "202
 def quote_comparison(
     quotes: DataFrame, n: int = 10, *, commodity: str = "CME LEAN HOGS", coverage_from: float = 0.90, digits: int | None = 2
 ) -> DataFrame:
-    """LRP cost per cwt against the put premium, highest coverage first."""
+    """LRP cost per cwt against the put premium, highest coverage first.
+
+    Of quotes alike in coverage, price and length the cheaper come first, by LRP cost and then by
+    the put, so the quotes at the cut are always the same; what is missing comes last.
+    """
     lrp = per_head_to_cwt(F.col("per_head_premium"))
     lrp = lrp if digits is None else round_half_up(lrp, digits)
     saved = F.col("cme_premium") - F.col("lrp_cost_cwt")
@@ -199,7 +203,7 @@ def quote_comparison(
             "endorsement_length",
             (saved if digits is None else round_half_up(saved, digits)).alias("savings"),
         )
-        .orderBy(F.desc("coverage_level_percent"), "coverage_price", "endorsement_length")
+        .orderBy(F.desc("coverage_level_percent"), *map(F.asc_nulls_last, ("coverage_price", "endorsement_length", "lrp_cost_cwt", "cme_put_cost_cwt")))
         .limit(n)
     )
 

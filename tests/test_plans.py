@@ -313,3 +313,13 @@ def test_build_all_names_and_writes_every_table(spark, tmp_path, nursery, flow,
     entries = build.write_all({n: out[n] for n in ("hedge_pnl", "endpointlist")}, str(tmp_path))
     assert [(e["file"], e["rows"]) for e in entries] == [("hedge_pnl", 3), ("endpointlist", 9)]
     assert read_table(spark, "endpointlist", str(tmp_path)).where("commodity = 'ZC'").count() == 3
+
+
+def test_quote_comparison_cuts_ties_alike_in_any_order(spark):
+    rows = [("CME LEAN HOGS", 0.95, 60.0, 2.1 * cost, put, 13) for cost in (3.0, 1.0, 2.0) for put in (7.0, None, 5.0)] + [("CME LEAN HOGS", 0.95, None, 0.0, 0.0, 13)]
+    names = "commodity string, coverage_level_percent double, coverage_price double, per_head_premium double, cme_premium double, endorsement_length bigint"
+    for given in (rows, rows[::-1]):
+        for parts in (1, 5):
+            quotes = spark.createDataFrame(given, names).coalesce(1) if parts == 1 else spark.createDataFrame(given, names).repartition(parts)
+            kept = [(r["lrp_cost_cwt"], r["cme_put_cost_cwt"]) for r in views.quote_comparison(quotes, 5).collect()]
+            assert kept == [(1.0, 5.0), (1.0, 7.0), (1.0, None), (2.0, 5.0), (2.0, 7.0)]
