@@ -17,6 +17,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from paddock.llm.common import checkpointed, shuffle_partitions
 
 CAPACITY = 1024
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 50_000
+BLOCK_CHARS = 1 << 18
 UNITS = 128
 MAX_PRICINGS = 400
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -60,22 +62,27 @@ class Tokens:
     A single space between two non-spaces begins a new piece of the vocabulary's pattern
     whatever follows, so what lies between such spaces is encoded by itself and kept. Chunks of a
     byte-level vocabulary are merged by its ranks. Texts that hold an added token's string are
-    encoded whole by the tokenizer.
+    encoded whole by the tokenizer, which is loaded where something needs it.
     """
 
     SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.added = [t["content"] for t in json.load(file)["added_tokens"]]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.merges = None
         if ranks := byte_ranks(path):
             self.merges = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -113,7 +120,7 @@ def _cut(path: str, capacity: int):
             row = 0
             while row < len(ids):
                 part, size = [], 0
-                while row + len(part) < len(ids) and size < 1 << 21:
+                while row + len(part) < len(ids) and size < BLOCK_CHARS:
                     part.append(texts[row + len(part)].as_py() or "")
                     size += len(part[-1])
                 out: list[tuple] = []
@@ -313,7 +320,8 @@ def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, capacity: in
     parts = pieces.where(F.col("length") < capacity)
     histogram = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # fewer than capacity rows
     patterns = plan(histogram, capacity)
-    where = spark.createDataFrame(places(patterns).astype("int64"), "size bigint, first_rank bigint, end_rank bigint, count bigint, first_sequence bigint")
+    # as Arrow the places reach the JVM without Python workers beside those of the pieces
+    where = spark.createDataFrame(pa.Table.from_pandas(places(patterns).astype("int64"), preserve_index=False))
     ranked = _ranked(pieces.withColumn("size", F.when(F.col("length") < capacity, F.col("size")).otherwise(F.lit(0))), shuffle_partitions(spark))
     # the places are bounded by the lengths, not by the rows
     packed = ranked.join(F.broadcast(where), "size").where("rank >= first_rank AND rank < end_rank")

@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paddock.llm import common, compression, language, toxicity
@@ -119,3 +121,17 @@ def test_quality_with_few_labels(spark, documents, labels):
     table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     got = compression.quality(documents(rows), compression.train(documents(rows), table)).collect()
     assert len(got) == 10 and len({r.score for r in got}) == 1
+
+
+def test_scoring_holds_little_at_a_time():
+    texts = pa.array(["some words of a common line " * 80] * 2000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], names=["doc_id", "text"])
+    model = toxicity.Model(np.arange(1, 801, dtype=np.uint64), np.ones(800), np.array([1.0, 2.0, 3.0]))
+    tracemalloc.start()
+    try:
+        got = sum(b.num_rows for b in toxicity._keep(model, 0.5)([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == len(texts)
+    assert peak < 60 << 20

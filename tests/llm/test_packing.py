@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -110,3 +112,41 @@ def test_plan_covers_the_demand(seed):
 def test_places_follow_the_plan():
     table = packing.places([(2, {5: 3, 1: 1}), (1, {5: 2})])
     assert table.to_dict("list") == {"size": [5, 1, 5], "first_rank": [0, 0, 6], "end_rank": [6, 2, 8], "count": [3, 1, 2], "first_sequence": [0, 0, 2]}
+
+
+def test_a_task_holds_little_at_a_time(monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(400_000)]
+    texts = [" ".join(words[a : a + 2000]) for a in range(0, len(words), 2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    built = []
+
+    class Watched(packing.Tokens):
+        def __init__(self, path):
+            super().__init__(path)
+            built.append(self)
+            tracemalloc.start()
+
+    monkeypatch.setattr(packing, "Tokens", Watched)
+    try:
+        got = sum(b.num_rows for b in packing._cut(PATH, 1024)([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got > len(texts)
+    assert "tokenizer" not in vars(built[0])  # no text needed the whole tokenizer
+    assert peak < 40 << 20
+
+
+def test_places_come_without_python_workers(spark, documents, monkeypatch):
+    made = []
+    create = type(spark).createDataFrame
+
+    def watched(self, data, *args, **options):
+        made.append(type(data))
+        return create(self, data, *args, **options)
+
+    rows = documents([(1, "a b c", "en", "s", 0), (2, None, "en", "s", 0)])
+    monkeypatch.setattr(type(spark), "createDataFrame", watched)
+    assert packing.pack(spark, rows, PATH).count() == 2
+    assert made == [pa.Table]
